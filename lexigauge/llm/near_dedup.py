@@ -7,9 +7,10 @@ taken, and its logarithm to base 1.001 is cut to whole steps; the sketch of a un
 maximum. Registers agree with about the Jaccard similarity, so bands of five registers meet for
 similar sets: at the threshold a link escapes all 48 bands with probability (1 - 0.75**5)**48 = 2e-6.
 
-Pairs come from bands without listing a band's pairs: members are first held against the band's smallest
-id, then against its largest, and the components are closed; only where a band still spans several
-components are the remaining pairs between different components listed, so that no link is lost.
+Pairs come from bands without listing a band's pairs: members are held against the band's smallest id and its
+largest, and the components are closed. Members of bands that still span several components are then joined exactly, by
+the rarest of their shingles (two sets over the threshold share one of as many as may be missing and one more), so that no
+link is lost, and a passage common to many of them makes no pairs.
 Each pair is estimated by maximum likelihood over the registers (far below the threshold it goes), then
 confirmed on the full sets.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import components, stage
@@ -124,6 +125,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            found = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
+            counts = [len(x) for x in found]
+            columns = [np.repeat(part.column("rep").to_numpy(), counts), np.repeat(counts, counts), np.concatenate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rep", "n", "shingle"])
+
+
 def _plausible(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,13 +203,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     links = confirmed(pairs)
     closed = components(links)
-    # bands that still span several components: their remaining pairs between different components
+    # members of bands that still span several components, with their component so far
     named = members.select("rep", "band").join(closed.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("part"))
     split = named.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n")).where("least < most and n > 2").select("band")
-    left = stage(named.join(split, "band"), "open")
-    other = left.select("band", F.col("rep").alias("b"), F.col("part").alias("part_b"))
-    rest = left.join(other, "band").where("rep > b and part != part_b").select(F.col("rep").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = confirmed(rest)
+    left = stage(named.join(split, "band").select("rep", "part").distinct(), "open")
+    # an exact join of them: two sets over the threshold share one of their rarest shingles, as many as may be missing and one more
+    rows = sets.join(left.select("rep"), "rep", "left_semi").mapInArrow(_exploded, "rep bigint, n bigint, shingle bigint")
+    rows = stage(rows.distinct(), "open_sets")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles that only one member has are its rarest, and match nothing
+    held = rows.join(common, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")) + F.col("n") - F.count("*").over(Window.partitionBy("rep")))
+    prefix = held.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).join(left, "rep").select("shingle", "rep", "part", "n", (F.col("n") - F.col("place") + 1).alias("ahead"))
+    other = prefix.select("shingle", F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("ahead").alias("ahead_b"))
+    # from their first common shingle on, enough are left for the overlap that the threshold asks for
+    alike = F.least("ahead", "ahead_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+    rest = prefix.join(other, "shingle").where((F.col("rep") > F.col("b")) & (F.col("part") != F.col("part_b")) & alike)
+    more = confirmed(rest.select(F.col("rep").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         closed = components(links.unionByName(more))
     named = classes.join(closed.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
