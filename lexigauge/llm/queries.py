@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, html_extract, line_dedup, near_dedup, quality_rules, sharding, suffix_dedup
+from . import byte_bpe, chat_format, decontaminate, html_extract, line_dedup, lm_scoring, near_dedup, quality_rules, sharding, suffix_dedup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -21,6 +21,10 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_decontaminate, op4_near_dedup, op5_html_extract, op6_sharding, op7_suffix_dedup, op8_line_dedup, op9_chat_format, op10_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_decontaminate, op4_near_dedup, op5_html_extract, op6_sharding, op7_suffix_dedup, op8_line_dedup, op9_chat_format, op10_byte_bpe, pipeline)}
 
 #: Words of a text in DuckDB, lower-cased and without ASCII punctuation where the operator does so.
 _MARKS = decontaminate._MARKS.replace("'", "''")
