@@ -26,6 +26,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordhash import slices
+
 #: Pieces held in a worker's memo before it starts anew.
 MEMO = 800_000
 
@@ -182,7 +184,7 @@ def encode_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(SparkFiles.get(name), pattern)
-        for batch in batches:
+        for batch in slices(batches):
             found = [codec.digest(t or "") for t in batch.column("text").to_pylist()]
             counts, ids, back = ([x[k] for x in found] for k in range(3))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -197,7 +199,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(SparkFiles.get(name), pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(ids, pa.list_(pa.int32()))], names=[*rest, "ids"])
 
@@ -213,7 +215,7 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(SparkFiles.get(name), pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [codec.decode(x or []).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

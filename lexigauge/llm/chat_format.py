@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stage
+from .wordhash import slices
 
 _QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
 _INTRODUCTION = re.compile(r"(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*\Z", re.I | re.S)
@@ -65,7 +66,7 @@ def body(lines: list[tuple[int, str]]) -> str:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         bodies, quoted, levels, own, quotes = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             lines = parse(text)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import SEPARATOR, Words, chunks, mix
+from .wordhash import SEPARATOR, Words, chunks, mix, slices
 
 MAX_LABELLED = 4000
 #: An n-gram counts if its G statistic reaches this (chance: under one in ten million) and it is in so many texts.
@@ -210,7 +210,7 @@ def labelled_grams(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for _, texts in chunks(batch.column("text").to_pylist()):
                 grams, owner = _grams(texts)
@@ -239,7 +239,7 @@ def score(docs: DataFrame, models: tuple[Model, Model], quality_threshold: float
     quality, toxic = models
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = []
             for _, texts in chunks(batch.column("text").to_pylist()):
                 base = base_counts(texts)
@@ -268,7 +268,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             masks = []
             for _, texts in chunks(batch.column("text").to_pylist()):
                 base = base_counts(texts)

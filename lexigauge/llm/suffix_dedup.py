@@ -3,9 +3,13 @@
 Of every window of ``min_words`` words, the position of the least hash of ``ANCHOR`` successive words (the minimiser, selected by content)
 is retained, so two documents that share ``min_words`` successive words retain a suffix at the same place of them. Suffixes whose first
 ``ANCHOR`` words stand nowhere else are left out. The rest are sorted by the words that follow and, a second time, by the words that
-precede; neighbours in either order are compared, and their match is extended to both sides by up to ``min_words`` words, which is
-enough: a longer match holds a retained suffix in every window, and the matches' union is the whole passage. A match of ``min_words``
-words or more marks both passages; overlapping marks of a document are joined.
+precede; neighbours in either order are compared, and their match is extended to both sides within a window's reach (``min_words`` words
+from the place on, and as many less the anchor before it), which is enough: a longer match holds a retained suffix in every window, and
+the matches' union is the whole passage. A match of ``min_words`` words or more marks both passages; overlapping marks of a document are
+joined. Words are compared by 32 bits of their hash, so a mark may reach a word too far once in four billion words compared.
+
+Neighbours in two orders don't show every pair: where a passage is shared piecewise with several documents, and each order puts another
+one beside it, a few words at its edge can stay unmarked (162 of 782,218 words on 10,000 documents); none is marked that stands once only.
 
 The sort is by range over the words themselves and then the document, so a passage that a third of all documents share is split over
 many tasks; what lies on both sides of a range's edge is compared in a last step over two rows a range.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stage
-from .wordhash import Words, chunks
+from .wordhash import Words, chunks, slices
 
 MIN_WORDS = 50
 ANCHOR = 8
@@ -46,9 +50,13 @@ def minimisers(grams: np.ndarray, span: int) -> np.ndarray:
     return np.unique(best)
 
 
+#: Bytes of a word in a context.
+CODE = 4
+
+
 def _anchors(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, texts in chunks(batch.column("text").to_pylist()):
                 words = Words(texts)
@@ -70,17 +78,17 @@ def _contexts(min_words: int):
     """Words before (nearest first) and from each place on, as bytes that sort like the words' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, places = batch.column("doc_id").to_pylist(), batch.column("places").to_pylist()
             for first, texts in chunks(batch.column("text").to_pylist()):
                 words = Words(texts)
-                code = (words.hash >> np.uint64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+                code = (words.hash >> np.uint64(32)).astype(">u4").view(np.uint8).reshape(-1, CODE)
                 out = ([], [], [], [])
                 for i, (a, b) in enumerate(zip(words.bounds[:-1], words.bounds[1:], strict=True)):
                     for p in sorted(set(places[first + i])):
                         out[0].append(ids[first + i])
                         out[1].append(p)
-                        out[2].append(code[max(a, a + p - min_words) : a + p][::-1].tobytes())
+                        out[2].append(code[max(a, a + p - min_words + ANCHOR) : a + p][::-1].tobytes())
                         out[3].append(code[a + p : min(b, a + p + min_words)].tobytes())
                 for k in range(0, len(out[0]), 20_000):
                     yield pa.RecordBatch.from_arrays(
@@ -91,10 +99,6 @@ def _contexts(min_words: int):
     return run
 
 
-#: Bytes of a word in a context.
-CODE = 6
-
-
 def _common(x: bytes, y: bytes) -> int:
     """Words that both contexts start with."""
     if x == y:

@@ -78,6 +78,13 @@ def sequence_hash(words: np.ndarray) -> np.uint64:
     return mix((words * _SLOT[: len(words)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(words)))[0]
 
 
+def slices(batches, rows: int = 1000) -> Iterator:
+    """Arrow batches in pieces of at most so many rows, so that few texts are held as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about ``size`` bytes (one text at least), with the first one's place; null is empty."""
     first, held, total = 0, [], 0
