@@ -28,21 +28,17 @@ from .shared import stage
 from .wordhash import Words, chunks, mix, slices
 
 ALPHA, MIN_COUNT = 0.4, 2
-BUCKET_PAIRS = 1_500_000
+BUCKET_PAIRS = 1_000_000
+#: Words that are sorted and packed at once.
+BLOCK_WORDS = 500_000
 FREQUENT_BITS = 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found, counts = [], []
-        for part in slices([batch], 2000):
-            for _, texts in chunks(part.column("text").to_pylist(), 1 << 22):
-                h, c = np.unique(Words(texts, lower=True).hash, return_counts=True)
-                found.append(h)
-                counts.append(c)
-        h, at = np.unique(np.concatenate(found), return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(at, np.concatenate(counts), len(h)).astype(np.int64))], names=["word", "n"])
+    for words, _, _ in _blocks(batches):
+        h, c = np.unique(words, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["word", "n"])
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -69,50 +65,56 @@ class _Frequent:
         return code, rare
 
 
-def _deal(frequent, total: int, buckets: int):
-    """Rows of two kinds: a document's first word scored (doc_id, value or word), and packed pairs of a bucket."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Word hashes of about ``BLOCK_WORDS`` words, the row of each, and the rows' ids."""
+    words, rows, ids, held = [], [], [], 0
+    n_rows = 0
+    for part in slices(batches):
+        of_part = part.column("doc_id").to_numpy(zero_copy_only=False)
+        for first, texts in chunks(part.column("text").to_pylist()):
+            found = Words(texts, lower=True)
+            words.append(found.hash)
+            rows.append(np.repeat(np.arange(n_rows, n_rows + len(texts)), np.diff(found.bounds)))
+            ids.append(of_part[first : first + len(texts)])
+            n_rows, held = n_rows + len(texts), held + len(found.hash)
+            if held >= BLOCK_WORDS:
+                yield np.concatenate(words), np.concatenate(rows), np.concatenate(ids)
+                words, rows, ids, held, n_rows = [], [], [], 0, 0
+    if words:
+        yield np.concatenate(words), np.concatenate(rows), np.concatenate(ids)
+
+
+def _deal(frequent, buckets: int):
+    """Packed pairs of each bucket, in the order of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
-        for batch in batches:
-            firsts, seconds, owners = [], [], []
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                for first, texts in chunks(part.column("text").to_pylist()):
-                    words = Words(texts, lower=True)
-                    owner = np.repeat(np.arange(first, first + len(texts)), np.diff(words.bounds))
-                    inner = owner[1:] == owner[:-1]
-                    firsts.append(words.hash[:-1][inner])
-                    seconds.append(words.hash[1:][inner])
-                    owners.append(ids[owner[1:][inner]])
-            if not firsts:
+        size = len(known.words)
+        for hashes, row, ids in _blocks(batches):
+            inner = np.flatnonzero(row[1:] == row[:-1])
+            if not len(inner):
                 continue
-            v, w, doc = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(owners)
-            bucket = (mix(v * _A + w * _B) >> np.uint64(32)) % np.uint64(buckets)
-            code_v, rare_v = known.code(v)
-            code_w, rare_w = known.code(w)
-            place, own = np.unique(doc, return_inverse=True)
-            order = np.lexsort((code_w, code_v, bucket))
-            bucket, code_v, code_w, own = bucket[order], code_v[order], code_w[order], own[order].astype(np.uint32)
-            cut = np.flatnonzero(np.diff(bucket)) + 1
+            code, rare = known.code(hashes)
+            bucket = (mix(hashes[inner] * _A + hashes[inner + 1] * _B) >> np.uint64(32)) % np.uint64(buckets)
+            if size + len(rare) < 1 << 22 and buckets < 1 << 20:
+                order = np.argsort((bucket << np.uint64(44)) | (code[inner].astype(np.uint64) << np.uint64(22)) | code[inner + 1])
+            else:
+                order = np.lexsort((code[inner + 1], code[inner], bucket))
+            bucket, inner = bucket[order], inner[order]
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
             rows = []
-            for k, (a, b) in enumerate(zip([0, *cut], [*cut, len(bucket)], strict=True)):
-                if b > a:
-                    # only the rarer words and documents of this bucket go with it
-                    cv, cw, o = code_v[a:b], code_w[a:b], own[a:b]
-                    size = len(known.words)
-                    docs_in, o = np.unique(o, return_inverse=True)
-                    parts = []
-                    for c, rare in ((cv, rare_v), (cw, rare_w)):
-                        held = c >= size
-                        used, at = np.unique(c[held] - size, return_inverse=True)
-                        c = c.copy()
-                        c[held] = at + size
-                        parts += [c.astype(np.uint32), rare[used]]
-                    steps = np.diff(parts[0], prepend=np.uint32(0))
-                    packed = _packed(steps, parts[2], o.astype(np.uint32), parts[1], parts[3], place[docs_in])
-                    rows.append((int(bucket[a]), b - a, len(parts[1]), len(parts[3]), len(docs_in), packed))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                at = inner[a:b]
+                docs, own = np.unique(row[at], return_inverse=True)
+                parts = []
+                for c in (code[at], code[at + 1]):
+                    # only the rarer words of this bucket go with it
+                    beyond = c >= size
+                    used, place = np.unique(c[beyond] - np.uint32(size), return_inverse=True)
+                    c[beyond] = place + size
+                    parts += [c, rare[used]]
+                packed = _packed(np.diff(parts[0], prepend=np.uint32(0)), parts[2], own.astype(np.uint32), parts[1], parts[3], ids[docs])
+                rows.append((int(bucket[a]), b - a, len(parts[1]), len(parts[3]), len(docs), packed))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "n", "n_v", "n_w", "n_docs", "packed"])
 
     return run
@@ -150,27 +152,29 @@ def _score(frequent, total: int, alpha: float, min_count: int):
         ids, own = np.unique(doc, return_inverse=True)
         sums = np.bincount(own, value, len(ids))
         rest = ~has
-        pairs, back = np.unique(np.rec.fromarrays([doc[rest], due[rest].view(np.int64)], names="d,w"), return_inverse=True)
-        times = np.bincount(back, sign[rest], len(pairs)).astype(np.int64)
-        some = times != 0
+        doc, due = doc[rest], due[rest]
+        _, one, back = np.unique(mix(doc.view(np.uint64) * _A + due * _B), return_index=True, return_inverse=True)
+        times = np.bincount(back, sign[rest], len(one)).astype(np.int64)
+        one, times = one[times != 0], times[times != 0]
         return pa.table({
-            "doc_id": np.concatenate((ids, pairs["d"][some])), "word": pa.array([*[None] * len(ids), *pairs["w"][some].tolist()], pa.int64()),
-            "times": np.concatenate((np.zeros(len(ids), np.int64), times[some])), "value": np.concatenate((sums, np.zeros(some.sum()))),
+            "doc_id": np.concatenate((ids, doc[one])), "word": pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(due[one].view(np.int64))]),
+            "times": np.concatenate((np.zeros(len(ids), np.int64), times)), "value": np.concatenate((sums, np.zeros(len(one)))),
         })
 
     return run
 
 
 def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash of each text's first word, null without one, and its count of words."""
     for part in slices(batches):
         words, counts = [], []
-        for text in part.column("text").to_pylist():
-            # the first word and the count of words
-            raw = (text or "").encode()
-            found = Words([raw], lower=True)
-            counts.append(len(found.hash))
-            words.append(int(found.hash[:1].view(np.int64)[0]) if len(found.hash) else None)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "word", "n_words"])
+        for _, texts in chunks(part.column("text").to_pylist()):
+            found = Words(texts, lower=True)
+            n = np.diff(found.bounds)
+            first = np.append(found.hash, np.uint64(0))[found.bounds[:-1]].view(np.int64)
+            words.append(pa.array(first, mask=n == 0))
+            counts.append(n)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.concat_arrays(words), pa.array(np.concatenate(counts), pa.int64())], names=["doc_id", "word", "n_words"])
 
 
 def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
@@ -183,7 +187,7 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_C
     rows = words.where(F.col("n") * (1 << FREQUENT_BITS) >= total).toArrow()
     frequent = spark.sparkContext.broadcast(_Frequent(rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()))
     buckets = max(1, -(-total // bucket_pairs))
-    dealt = texts.mapInArrow(_deal(frequent, total, buckets), "bucket int, n bigint, n_v bigint, n_w bigint, n_docs bigint, packed binary")
+    dealt = texts.mapInArrow(_deal(frequent, buckets), "bucket int, n bigint, n_v bigint, n_w bigint, n_docs bigint, packed binary")
     sums = stage(dealt.groupBy("bucket").applyInArrow(_score(frequent, total, alpha, min_count), "doc_id bigint, word bigint, times bigint, value double"), "sums")
     starts = stage(texts.mapInArrow(_first_words, "doc_id bigint, word bigint, n_words bigint"), "starts")
     # a row repeated so often counts in every sum as often
