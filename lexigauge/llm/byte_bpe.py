@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .wordhash import slices
 
-#: Pieces held in a worker's memo before it starts anew.
-MEMO = 800_000
+#: Pieces, and pairs of tokens, held in a worker's memo before it starts anew.
+MEMO = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -102,6 +102,8 @@ class Encoder:
                 limit, a = a, of_a[1]
             else:
                 limit, b = b + 1, of_b[0]
+        if len(self.fits) >= MEMO:
+            self.fits.clear()
         self.fits[left, right] = answer
         return answer
 
