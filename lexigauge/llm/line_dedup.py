@@ -28,25 +28,24 @@ _WORD_GAP = r"[\x20\x09-\x0D]+"
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*"
 
 
-def template(line: Column, depth: int = DEPTH, least: int = LEAST_TOKENS, most: int = MOST_TOKENS) -> Column:
-    """Hash of a line's leaf and template; null for a line outside the bounds of tokens."""
-    trimmed = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    masked = F.when(trimmed.rlike("[0-9@]"), F.regexp_replace(trimmed, _VARIABLE, "<*>")).otherwise(trimmed)
-    tokens = F.split(masked, _WORD_GAP)
-    count = F.size(tokens)
-    return F.when((count >= least) & (count <= most) & (trimmed != ""), F.xxhash64(count, F.slice(tokens, 1, depth), F.slice(tokens, depth + 1, most)))
+def templates(text: Column, depth: int = DEPTH, least: int = LEAST_TOKENS, most: int = MOST_TOKENS) -> Column:
+    """Hash of each line's leaf and template, null for a line outside the bounds of tokens; each step runs once a line."""
+    trimmed = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit("\t\x0b\x0c\r ")))
+    masked = F.transform(trimmed, lambda line: F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line))
+    tokens = F.transform(masked, lambda line: F.split(line, _WORD_GAP))
+    inside = lambda t: (F.size(t) >= least) & (F.size(t) <= most)
+    return F.transform(tokens, lambda t: F.when(inside(t), F.xxhash64(F.size(t), F.slice(t, 1, depth), F.slice(t, depth + 1, most))))
 
 
 def _lined(docs: DataFrame, least: int, most: int, depth: int) -> DataFrame:
     text = F.col("text").cast("string")
-    keys = F.transform(F.split(text, "\n", -1), lambda line: template(line, depth, least, most))
-    return docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text_key"), keys.alias("keys")).where("text is not null")
+    return docs.where("text is not null").select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text_key"), templates(text, depth, least, most).alias("keys"))
 
 
 def places(docs: DataFrame, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH) -> DataFrame:
     """Every line that has a template: (doc_id, text_key, place, key, around), around being its neighbours' hash."""
     near = lambda i: F.coalesce(F.get("keys", i), F.lit(0))
-    found = _lined(docs, least, most, depth).select("doc_id", "text_key", "keys", F.posexplode("keys").alias("place", "key")).where("key is not null")
+    found = _lined(docs, least, most, depth).select("doc_id", "text_key", "keys", F.posexplode_outer("keys").alias("place", "key")).where("key is not null")  # outer: no filter that makes the keys twice
     return found.select("doc_id", "text_key", "place", "key", F.xxhash64(near(F.col("place") - 1), near(F.col("place") + 1)).alias("around"))
 
 
