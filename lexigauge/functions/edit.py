@@ -22,60 +22,136 @@ BANDS = (48, 384)
 def guarded_distance(ref: Column, hyp: Column) -> Column:
     """Levenshtein distance in code points; beyond the guard, the difference of lengths."""
     exact = F.levenshtein(ref, hyp)
+    longer = F.greatest(F.char_length(ref), F.char_length(hyp))
     for band in reversed(BANDS):
-        within = F.levenshtein(ref, hyp, band)
-        exact = F.coalesce(F.nullif(within, F.lit(-1)), exact)
+        within = F.nullif(F.levenshtein(ref, hyp, band), F.lit(-1))
+        # in a text hardly longer than a band is wide, the band is most of the matrix
+        exact = F.coalesce(F.when(longer > 3 * band, within), exact)
     return F.when(ref == hyp, 0).when(overflows(ref, hyp), F.abs(F.char_length(ref) - F.char_length(hyp))).otherwise(exact)
 
 
+def _places(long: str, short: str) -> dict[str, int]:
+    """For each character of ``short``, a bit for every place in ``long`` that has it."""
+    codes = np.frombuffer(long.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return {c: int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little") for c in set(short)}
+
+
+def _columns(long: str, short: str, across: bool) -> tuple[list[bytes], list[bytes]]:
+    """Bits over ``long`` for each character of ``short``: cells equal to their diagonal, and cells one above a neighbour.
+
+    The neighbour is the cell before along ``short`` if ``across``, else the one before along ``long``. A whole column of the
+    matrix is one integer, so a step costs a few operations on as many bits as ``long`` has characters.
+    """
+    n = len(long)
+    size, ones, places = (n + 7) // 8, (1 << n) - 1, _places(long, short)
+    up, down = ones, 0
+    level, above = [], []
+    for c in short:
+        same = places[c]
+        equal = ((((same & up) + up) ^ up) | same | down) & ones
+        right, left = down | (ones & ~(equal | up)), equal & up
+        if across:
+            above.append(right.to_bytes(size, "little"))
+        right = (right << 1 | 1) & ones
+        up, down = (left << 1 & ones) | (ones & ~(equal | right)), equal & right
+        if not across:
+            above.append(up.to_bytes(size, "little"))
+        level.append(equal.to_bytes(size, "little"))
+    return level, above
+
+
+def _shared(ref: str, hyp: str, at_end: bool) -> int:
+    """Characters that two texts have in common at their start or end."""
+    n, m, common, step = len(ref), len(hyp), 0, min(len(ref), len(hyp))
+    while step:
+        reach = common + step
+        fits = reach <= min(n, m)
+        if fits and (ref[n - reach : n - common] == hyp[m - reach : m - common] if at_end else ref[common:reach] == hyp[common:reach]):
+            common = reach
+        else:
+            step //= 2
+    return common
+
+
+def distance(ref: str, hyp: str) -> int:
+    """Levenshtein distance in code points, a column of the matrix at a time."""
+    head = _shared(ref, hyp, False)
+    ref, hyp = ref[head:], hyp[head:]
+    tail = _shared(ref, hyp, True)
+    long, short = sorted((ref[: len(ref) - tail], hyp[: len(hyp) - tail]), key=len, reverse=True)
+    n = len(long)
+    if not short:
+        return n
+    places, ones, last = _places(long, short), (1 << n) - 1, n - 1
+    up, down, total = ones, 0, n
+    for c in short:
+        same = places[c]
+        equal = ((((same & up) + up) ^ up) | same | down) & ones
+        right, left = down | (ones & ~(equal | up)), equal & up
+        total += (right >> last) - (left >> last)
+        right = (right << 1 | 1) & ones
+        up, down = (left << 1 & ones) | (ones & ~(equal | right)), equal & right
+    return total
+
+
 def count_ops(ref: str, hyp: str) -> tuple[int, int, int, int, int, int, bool]:
     """dist, S, D, I, lengths and overflow; of equal ways, a match goes before a substitution, a deletion and an insertion.
 
-    Counts are carried along anti-diagonals, whose cells don't depend on each other; only three are held.
+    The matrix is held as bit columns over the longer text, and walked from its end.
     """
     n, m = len(ref), len(hyp)
     if n * m > MAX_CELLS:
         return abs(n - m), 0, max(0, n - m), max(0, m - n), n, m, True
-    common = 0
-    while common < min(n, m) and ref[n - 1 - common] == hyp[m - 1 - common]:
-        common += 1
-    a = np.array([ord(c) for c in ref[: n - common]], np.int32)
-    b = np.array([ord(c) for c in hyp[: m - common]], np.int32)
-    p, q = len(a), len(b)
-    if not p or not q:
-        return p + q, 0, p, q, n, m, False
-    # rows: distance, S, D, I; a cell's place in its diagonal is its row
-    old, new = np.zeros((4, p + 1), np.int32), np.zeros((4, p + 1), np.int32)
-    new[:, 0], new[:, 1] = (1, 0, 0, 1), (1, 0, 1, 0)
-    for d in range(2, p + q + 1):
-        now = np.zeros((4, p + 1), np.int32)
-        if d <= q:
-            now[:, 0] = (d, 0, 0, d)
-        if d <= p:
-            now[:, d] = (d, 0, d, 0)
-        lo, hi = max(1, d - q), min(p, d - 1)
-        i = np.arange(lo, hi + 1)
-        diagonal, up, left = old[:, i - 1], new[:, i - 1], new[:, i]
-        same = a[i - 1] == b[d - i - 1]
-        dist = np.minimum(np.minimum(up[0], left[0]) + 1, diagonal[0] + ~same)
-        keep = same & (dist == diagonal[0])
-        swap = ~keep & (dist == diagonal[0] + 1)
-        drop = ~keep & ~swap & (dist == up[0] + 1)
-        add = ~keep & ~swap & ~drop
-        now[:, i] = np.where(keep | swap, diagonal, np.where(drop, up, left))
-        now[0, i] = dist
-        now[1, i] += swap
-        now[2, i] += drop
-        now[3, i] += add
-        old, new = new, now
-    return *(int(x) for x in new[:, p]), n, m, False
+    # a common end matches whatever stands before it
+    common = _shared(ref, hyp, True)
+    i, j = n - common, m - common
+    if not i or not j:
+        return i + j, 0, i, j, n, m, False
+    turned = i < j
+    level, above = _columns(hyp[:j], ref[:i], True) if turned else _columns(ref[:i], hyp[:j], False)
+    swaps = drops = adds = 0
+    while i and j:
+        if ref[i - 1] == hyp[j - 1]:
+            i, j = i - 1, j - 1
+            continue
+        column, row = (i - 1, j - 1) if turned else (j - 1, i - 1)
+        at, bit = row >> 3, row & 7
+        if not level[column][at] >> bit & 1:
+            swaps, i, j = swaps + 1, i - 1, j - 1
+        elif above[column][at] >> bit & 1:
+            drops, i = drops + 1, i - 1
+        else:
+            adds, j = adds + 1, j - 1
+    drops, adds = drops + i, adds + j
+    return swaps + drops + adds, swaps, drops, adds, n, m, False
 
 
 def _counted(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = [count_ops(r or "", h or "") for r, h in zip(ref, hyp, strict=True)]
-    return pd.DataFrame(rows, columns=["dist", "S", "D", "I", "ref_len", "hyp_len", "overflow"])
+    pairs = list(zip(ref.fillna(""), hyp.fillna(""), strict=True))
+    found = {pair: count_ops(*pair) for pair in set(pairs)}
+    return pd.DataFrame([found[pair] for pair in pairs], columns=["dist", "S", "D", "I", "ref_len", "hyp_len", "overflow"])
 
 
 def edit_ops(ref: Column | str, hyp: Column | str) -> Column:
     """Struct of ``count_ops`` for each pair; null counts as empty."""
     return F.pandas_udf(_counted, OPS)(ref, hyp)
+
+
+def _summed(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+    found: dict[tuple[str, str], int] = {}
+
+    def total(r, h):
+        if r is None:
+            return None
+        pairs = list(zip(r, h, strict=True))
+        for pair in pairs:
+            if pair not in found:
+                found[pair] = distance(*pair)
+        return sum(found[pair] for pair in pairs)
+
+    return pd.Series([total(r, h) for r, h in zip(refs, hyps, strict=True)], dtype="Int64")
+
+
+def summed_distance(refs: Column, hyps: Column) -> Column:
+    """Sum of the distances of blocks side by side, in Arrow batches; null for null."""
+    return F.pandas_udf(_summed, "bigint")(refs, hyps)

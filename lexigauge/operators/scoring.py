@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edit import edit_ops, guarded_distance, overflows
+from ..functions.edit import edit_ops, overflows, summed_distance
 from ..functions.normalize import LEVELS, casefold, collapse_ws, drop_cjk_space, half_width, normalize, simplify, unify_punctuation
 from ..functions.segment import SEG_MODES, align_blocks, split_blocks
 
@@ -41,23 +41,36 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def levelled(texts: DataFrame, seg_modes: Sequence[str] = SEG_MODES, pairs: dict[str, str] | None = None) -> DataFrame:
-    """A row per text and segmentation: columns of ``texts`` but ref and text, seg_mode, fixed_len, and blocks r0, h0 to r5, h5 at the levels.
+    """A row per text and way of splitting it: columns of ``texts`` but ref and text, seg_modes, fixed_len, and blocks r0, h0 to r5, h5 at the levels.
 
-    A text is split once per segmentation, and each level is made from the one before.
+    A text is split once per segmentation, segmentations that give the same blocks share a row (``seg_modes`` names them), and each level is
+    made from the one before.
     """
     texts = spread(texts)
     keep = [c for c in texts.columns if c not in ("ref", "text")]
-    cells = [F.struct(F.lit(m).alias("seg_mode"), split_blocks(F.col("ref"), m).alias("r"), split_blocks(F.col("text"), m).alias("h")) for m in seg_modes]
-    rows = texts.select(*keep, F.explode(F.array(*cells)).alias("c")).select(*keep, "c.seg_mode", F.col("c.r").alias("r0"), F.col("c.h").alias("h0"))
+    cells = F.array(*(F.struct(F.lit(m).alias("seg_mode"), split_blocks(F.col("ref"), m).alias("r"), split_blocks(F.col("text"), m).alias("h")) for m in seg_modes))
+    alike = lambda c: F.transform(F.filter("cells", lambda d: (d["r"] == c["r"]) & (d["h"] == c["h"])), lambda d: d["seg_mode"])
+    shared = F.transform("cells", lambda c: F.struct(alike(c).alias("seg_modes"), c["seg_mode"].alias("seg_mode"), c["r"].alias("r"), c["h"].alias("h")))
+    rows = texts.select(*keep, cells.alias("cells")).select(*keep, F.explode(F.filter(shared, lambda c: F.get(c["seg_modes"], 0) == c["seg_mode"])).alias("c"))
+    rows = rows.select(*keep, "c.seg_modes", F.col("c.r").alias("r0"), F.col("c.h").alias("h0"))
     rows = rows.withColumn("fixed_len", _total(F.transform("r0", lambda b: F.char_length(b).cast("bigint"))))
     for k, rule in enumerate((collapse_ws, casefold, half_width, unify_punctuation, lambda b: drop_cjk_space(simplify(b, pairs or {}))), 1):
         rows = rows.withColumns({f"{x}{k}": F.transform(f"{x}{k - 1}", rule) for x in "rh"})
     return rows
 
 
-def _distance(r: Column, h: Column) -> Column:
-    side = lambda x, f: F.coalesce(x[f], F.lit(""))
-    return _total(F.transform(align_blocks(r, h), lambda x: guarded_distance(side(x, "ref"), side(x, "hyp")).cast("bigint")))
+def _side(x: Column, f: str) -> Column:
+    return F.coalesce(x[f], F.lit(""))
+
+
+def _distances(r: Column, h: Column, wanted: Column) -> tuple[Column, Column]:
+    """Distances of the blocks within the guard, and differences of lengths beyond it; null where not wanted."""
+    pairs = F.filter(align_blocks(r, h), lambda x: _side(x, "ref") != _side(x, "hyp"))
+    beyond = lambda x: overflows(_side(x, "ref"), _side(x, "hyp"))
+    inside = F.filter(pairs, lambda x: ~beyond(x))
+    near = summed_distance(F.when(wanted, F.transform(inside, lambda x: _side(x, "ref"))), F.when(wanted, F.transform(inside, lambda x: _side(x, "hyp"))))
+    apart = lambda x: F.abs(F.char_length(_side(x, "ref")) - F.char_length(_side(x, "hyp"))).cast("bigint")
+    return near, F.when(wanted, _total(F.transform(F.filter(pairs, beyond), apart)))
 
 
 def sample_scores(texts: DataFrame, seg_modes: Sequence[str] = SEG_MODES, levels: Sequence[str] = LEVELS, pairs: dict[str, str] | None = None) -> DataFrame:
@@ -66,27 +79,31 @@ def sample_scores(texts: DataFrame, seg_modes: Sequence[str] = SEG_MODES, levels
     Where a level changes neither side, the distance of the level before holds.
     """
     rows = levelled(texts.select("model", "sample_id", "ref", "text"), seg_modes, pairs)
+    measured = {}
     for k in range(len(LEVELS)):
         r, h = F.col(f"r{k}"), F.col(f"h{k}")
-        again = (r == F.col(f"r{k - 1}")) & (h == F.col(f"h{k - 1}")) if k else F.lit(False)
-        rows = rows.withColumn(f"d{k}", F.when(again, F.col(f"d{k - 1}")).otherwise(_distance(r, h)) if k else _distance(r, h))
-    side = lambda x: (F.coalesce(x["ref"], F.lit("")), F.coalesce(x["hyp"], F.lit("")))
+        fresh = (r != F.col(f"r{k - 1}")) | (h != F.col(f"h{k - 1}")) if k else F.lit(True)
+        measured[f"near{k}"], measured[f"far{k}"] = _distances(r, h, fresh)
+    rows = rows.withColumns(measured)
+    dist = [F.coalesce(*(F.col(f"near{i}") + F.col(f"far{i}") for i in range(k, -1, -1))) for k in range(len(LEVELS))]
+    rows = rows.withColumns({f"d{k}": d for k, d in enumerate(dist)})
     cells = [
         F.struct(
             F.lit(level).alias("level"), F.col(f"d{k}").alias("dist"), _total(F.transform(f"r{k}", lambda b: F.char_length(b).cast("bigint"))).alias("ref_len"),
-            F.exists(align_blocks(F.col(f"r{k}"), F.col(f"h{k}")), lambda x: overflows(*side(x))).cast("int").alias("overflow"),
+            F.exists(align_blocks(F.col(f"r{k}"), F.col(f"h{k}")), lambda x: overflows(_side(x, "ref"), _side(x, "hyp"))).cast("int").alias("overflow"),
         )
         for k, level in enumerate(LEVELS) if level in levels
     ]
-    return rows.select("model", "sample_id", "seg_mode", "fixed_len", F.explode(F.array(*cells)).alias("c")).select("model", "sample_id", "seg_mode", "fixed_len", "c.*")
+    rows = rows.select("model", "sample_id", "seg_modes", "fixed_len", F.explode(F.array(*cells)).alias("c"))
+    return rows.select("model", "sample_id", F.explode("seg_modes").alias("seg_mode"), "fixed_len", "c.*")
 
 
 def block_rows(texts: DataFrame, seg_modes: Sequence[str] = SEG_MODES, pairs: dict[str, str] | None = None) -> DataFrame:
     """``levelled`` with a row per level: ref_blocks and hyp_blocks."""
     rows = levelled(texts, seg_modes, pairs)
-    keep = [c for c in rows.columns if c[1:] not in map(str, range(len(LEVELS)))]
+    keep = [c for c in rows.columns if c != "seg_modes" and c[1:] not in map(str, range(len(LEVELS)))]
     cells = [F.struct(F.lit(level).alias("level"), F.col(f"r{k}").alias("ref_blocks"), F.col(f"h{k}").alias("hyp_blocks")) for k, level in enumerate(LEVELS)]
-    return rows.select(*keep, F.explode(F.array(*cells)).alias("c")).select(*keep, "c.*")
+    return rows.select(*keep, "seg_modes", F.explode(F.array(*cells)).alias("c")).select(*keep, F.explode("seg_modes").alias("seg_mode"), "c.*")
 
 
 def sample_ops(rows: DataFrame) -> DataFrame:
