@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from lexigauge import catalogue
 
-HEADLINE = ["norm_p5", "split_para_merge", "missing_pred", "edit_distance", "bootstrap_ci", "rank_matrix", "verdicts", "stability_summary", "protocol_curve", "audit_features", "md_to_plain_full"]
+HEADLINE = ["corpus_cer", "group_scores_sdi", "norm_p5", "split_para_merge", "missing_pred", "edit_distance", "bootstrap_ci", "rank_matrix", "verdicts", "stability_summary", "protocol_curve", "audit_features", "md_to_plain_full"]
 
 
 def main() -> None:

@@ -13,9 +13,9 @@ FEATURES = ("trad_only", "fullwidth_digit", "fullwidth_alpha", "cjk_latin_mix",
 
 
 def _distinct(text: Column, chars: str) -> Column:
-    """Count of different characters of a set in a text."""
-    kept = F.regexp_replace(text, "[^" + "".join("\\" + c if ord(c) < 128 else c for c in chars) + "]", "")
-    return F.when(kept == "", 0).otherwise(F.size(F.array_distinct(F.split(kept, ""))) - F.when(F.array_contains(F.split(kept, ""), ""), 1).otherwise(0))
+    """Count of different characters of a set in a text; the text's own set is a common subexpression of all counts."""
+    letters = F.array_distinct(F.split(text, ""))
+    return F.size(F.array_intersect(letters, F.array(*map(F.lit, chars))))
 
 
 def audit(text: Column, traditional: str) -> list[Column]:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space as Python's ``str.isspace`` has it: 29 code points, more than ``\s`` in Java.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same characters one by one.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # Punctuation and its ASCII counterpart, one character for one.
 PUNCTUATION = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chars import FULL_WIDTH, PUNCTUATION, WS, fold_tables, translated
+from .chars import FULL_WIDTH, PUNCTUATION, WS, WS_CHARS, fold_tables, translated
 
 LEVELS = ("P0", "P1", "P2", "P3", "P4", "P5")
 #: The rules that each level adds, and what each rule changes.
@@ -19,7 +19,7 @@ _CJK = r"[㐀-䶿一-鿿豈-﫿]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def collapse_ws(text: Column) -> Column:

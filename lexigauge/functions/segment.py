@@ -16,7 +16,7 @@ TITLE_CHARS = 12
 
 
 def unix_lines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def _ends(text: Column) -> Column:
@@ -39,15 +39,19 @@ def needs_merge(before: Column, after: Column) -> Column:
 
 
 def merge_truncated(paragraphs: Column) -> Column:
-    """Paragraphs with those joined by a line feed that were cut off; a fold over the array."""
-    empty = F.array().cast("array<string>")
-    last = lambda a: F.element_at(a, -1)
+    """Paragraphs with those joined by a line feed that were cut off.
 
-    def step(acc: Column, x: Column) -> Column:
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last(acc), F.lit("\n"), x)))
-        return F.when(F.size(acc) == 0, F.array(x)).when(needs_merge(last(acc), x), joined).otherwise(F.concat(acc, F.array(x)))
+    Whether one goes on depends on the paragraph before it only, and no paragraph has an empty line in it, so all are joined at once, by a
+    line feed or an empty line, and split at the empty lines: linear in the text.
+    """
 
-    return F.aggregate(paragraphs, empty, step)
+    def between(p: Column, x: Column, i: Column) -> Column:
+        return F.when(i == 0, "").when(needs_merge(F.get(p, i - 1), x), "\n").otherwise("\n\n")
+
+    # an array of one binds the paragraphs to a name, so that they are made once
+    joined = lambda p: F.array_join(F.transform(p, lambda x, i: F.concat(between(p, x, i), x)), "")
+    merged = lambda p: F.when(F.size(p) < 2, p).otherwise(F.split(joined(p), "\n\n", -1))
+    return F.get(F.transform(F.array(paragraphs), merged), 0)
 
 
 def split_blocks(text: Column, mode: str) -> Column:
