@@ -76,7 +76,7 @@ def _level_sql(level: str) -> str:
 
 def _norm(level: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "documents").select("doc_id", normalize(_dressed(F.col("text")), level, _PAIRS).alias("text"))
+        return scoring.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", normalize(_dressed(F.col("text")), level, _PAIRS).alias("text"))
 
     run.__name__ = f"norm_{level.lower()}"
     return run
@@ -443,7 +443,7 @@ audited as (
 
 
 def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", _dressed(F.col("text")).alias("text"))
+    docs = scoring.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", _dressed(F.col("text")).alias("text"))
     return docs.select("doc_id", *audit_fn.audit(F.col("text"), "".join(_PAIRS)))
 
 

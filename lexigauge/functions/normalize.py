@@ -26,15 +26,26 @@ def collapse_ws(text: Column) -> Column:
     return F.regexp_replace(strip(text), f"{WS}+", " ")
 
 
-def casefold(text: Column) -> Column:
-    """Full case folding; what folds to several characters is replaced only in texts that have it."""
+def _then(*maps: dict[str, str]) -> dict[str, str]:
+    """One map that does what several do in turn."""
+    out: dict[str, str] = {}
+    for m in maps:
+        out = {c: m.get(x, x) for c, x in out.items()} | {c: x for c, x in m.items() if c not in out}
+    return out
+
+
+def casefold(text: Column, *after: dict[str, str]) -> Column:
+    """Full case folding, then maps of characters beyond ASCII, all in one pass.
+
+    What folds to several characters is replaced only in texts that have it; no other character folds to one of those.
+    """
     one, many = fold_tables()
-    out = translated(text, one)
-    folded = out
+    folded = translated(text, one)
     for c, f in many.items():
         folded = F.replace(folded, F.lit(c), F.lit(f))
     ascii_only = ~text.rlike(r"[^\x00-\x7f]")
-    return F.when(ascii_only, F.lower(text)).when(out.rlike("[" + "".join(many) + "]"), folded).otherwise(out)
+    several = text.rlike("[" + "".join(many) + "]")
+    return F.when(ascii_only, F.lower(text)).when(several, translated(folded, _then(*after))).otherwise(translated(text, _then(one, *after)))
 
 
 def half_width(text: Column) -> Column:
@@ -62,9 +73,11 @@ def normalize(text: Column, level: str, pairs: dict[str, str] | None = None) ->
     if at == 5 and pairs is None:
         raise ValueError("P5 needs a table of traditional and simplified characters")
     out = strip(F.coalesce(text.cast("string"), F.lit("")))
-    for k, rule in enumerate((collapse_ws, casefold, half_width, unify_punctuation), 1):
-        out = rule(out) if at >= k else out
-    return drop_cjk_space(simplify(out, pairs)) if at == 5 else out
+    if at >= 1:
+        out = collapse_ws(out)
+    if at >= 2:
+        out = casefold(out, *(FULL_WIDTH, PUNCTUATION, pairs or {})[: at - 2])
+    return drop_cjk_space(out) if at == 5 else out
 
 
 def rules_table(spark: SparkSession) -> DataFrame:

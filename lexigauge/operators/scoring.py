@@ -54,7 +54,7 @@ def levelled(texts: DataFrame, seg_modes: Sequence[str] = SEG_MODES, pairs: dict
     rows = texts.select(*keep, cells.alias("cells")).select(*keep, F.explode(F.filter(shared, lambda c: F.get(c["seg_modes"], 0) == c["seg_mode"])).alias("c"))
     rows = rows.select(*keep, "c.seg_modes", F.col("c.r").alias("r0"), F.col("c.h").alias("h0"))
     rows = rows.withColumn("fixed_len", _total(F.transform("r0", lambda b: F.char_length(b).cast("bigint"))))
-    for k, rule in enumerate((collapse_ws, casefold, half_width, unify_punctuation, lambda b: drop_cjk_space(simplify(b, pairs or {}))), 1):
+    for k, rule in enumerate((collapse_ws, lambda b: casefold(b), half_width, unify_punctuation, lambda b: drop_cjk_space(simplify(b, pairs or {}))), 1):
         rows = rows.withColumns({f"{x}{k}": F.transform(f"{x}{k - 1}", rule) for x in "rh"})
     return rows
 

@@ -3,8 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from lexigauge.functions import audit, flatten
-from lexigauge.functions.edit import count_ops
-from lexigauge.functions.normalize import casefold, normalize, punctuation_keeps_length
+from lexigauge.functions.edit import count_ops, distance
+from lexigauge.functions.normalize import casefold, collapse_ws, drop_cjk_space, half_width, normalize, punctuation_keeps_length, simplify, unify_punctuation
 from lexigauge.functions.segment import align_blocks, split_blocks
 
 PAIRS = {"體": "体", "檢": "检", "報": "报", "問": "问", "題": "题", "與": "与"}
@@ -82,3 +82,26 @@ def test_flatten(spark):
 def test_audit(spark):
     row = spark.createDataFrame([("體檢１２，甲 乙\n  x☀",)], "t string").select(*audit.audit(F.col("t"), "體檢")).first()
     assert (row["trad_only"], row["fullwidth_digit"], row["fullwidth_punct"], row["cjk_space"], row["indent"], row["emoji"], row["n_lines"]) == (2, 2, 1, 1, 1, 1, 2)
+
+
+def test_levels_in_one_pass_are_those_in_turn(spark):
+    texts = ["ＡＢＣ，Straße", "İ。體 檢", "plain Text", "ŉ１２！報", "　甲　乙　", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    in_turn = drop_cjk_space(simplify(unify_punctuation(half_width(casefold(collapse_ws(F.col("t"))))), PAIRS))
+    assert all(r["a"] == r["b"] for r in rows.select(normalize(F.col("t"), "P5", PAIRS).alias("a"), in_turn.alias("b")).collect())
+
+
+def test_distances_of_long_texts():
+    rng = random.Random(9)
+    for n, m in ((300, 250), (70, 400), (5, 900)):
+        a, b = ("".join(rng.choice("abcd😀体") for _ in range(k)) for k in (n, m))
+        assert count_ops(a, b)[:4] == full_matrix(a, b) and distance(a, b) == full_matrix(a, b)[0]
+    assert distance("abc", "abc") == 0 and distance("", "ab") == 2 and count_ops("", "ab")[:4] == (2, 0, 0, 2)
+
+
+def test_truncated_paragraphs(spark):
+    merged = lambda text: value(spark, text, lambda t: split_blocks(t, "para_merge"))
+    assert merged("the first line without end\n\nthe second line without end\n\nthe third line ends.\n\nthe fourth line starts anew") == [
+        "the first line without end\nthe second line without end\nthe third line ends.", "the fourth line starts anew"]
+    assert merged(None) == [] and merged("a\r\nb") == ["a\nb"]
+    assert len(merged("\n\n".join(["this line of text goes on"] * 20_000))) == 1
