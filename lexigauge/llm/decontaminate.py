@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast, stage
+from .shared import maybe_broadcast, stage, unused
 
 SHINGLE = 5
 RADIUS = 15
@@ -127,5 +127,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radius: in
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` in which no window repeats an item."""
-    bad = maybe_broadcast(stage(matches(docs, benchmark, percent, radius).select(F.col("doc_id").alias("_bad")).distinct(), "bad"), BROADCAST_ROWS)
-    return docs.join(bad, docs["doc_id"].cast("bigint") == F.col("_bad"), "left_anti")
+    name = unused(docs, "_bad")
+    bad = maybe_broadcast(stage(matches(docs, benchmark, percent, radius).select(F.col("doc_id").alias(name)).distinct(), "bad"), BROADCAST_ROWS)
+    return docs.join(bad, docs["doc_id"].cast("bigint") == F.col(name), "left_anti")

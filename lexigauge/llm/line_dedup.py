@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import stage, unused
 
 LEAST_TOKENS, MOST_TOKENS = 3, 40
 LEAST_SURROUNDINGS = 10
@@ -56,17 +56,18 @@ def recurring(found: DataFrame, surroundings: int = LEAST_SURROUNDINGS) -> DataF
 
 def drop_recurring_lines(docs: DataFrame, surroundings: int = LEAST_SURROUNDINGS, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH) -> DataFrame:
     """``docs`` with the lines of recurring templates out of ``text``, plus ``n_lines`` and ``n_dropped``."""
+    _id, _key, _out = (unused(docs, c) for c in ("_id", "_key", "_out"))
     found = stage(places(docs, least, most, depth), "places")
-    out = found.join(recurring(found, surroundings), "key").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("place").alias("_out"))
+    out = found.join(recurring(found, surroundings), "key").groupBy(F.col("doc_id").alias(_id), F.col("text_key").alias(_key)).agg(F.collect_set("place").alias(_out))
     text = F.col("text").cast("string")
-    joined = docs.join(out, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_key")), "left")
+    joined = docs.join(out, docs["doc_id"].eqNullSafe(F.col(_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(_key)), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.when(F.col("_out").isNull(), text).otherwise(
-        F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("_out"), s["i"])), lambda s: s["x"]), "\n")
+    kept = F.when(F.col(_out).isNull(), text).otherwise(
+        F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(_out), s["i"])), lambda s: s["x"]), "\n")
     )
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
         *(kept.alias("text") if c == "text" else docs[c] for c in names),
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.when(F.col("_out").isNull(), 0).otherwise(F.size("_out")).cast("bigint").alias("n_dropped"),
+        F.when(F.col(_out).isNull(), 0).otherwise(F.size(_out)).cast("bigint").alias("n_dropped"),
     )

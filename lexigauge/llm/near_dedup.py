@@ -16,7 +16,7 @@ confirmed on the full sets.
 
 Defined cases: null or empty text, or one of white space only, has an empty set, is linked with nothing and is
 kept; equal texts are linked; a repeated row (same id, same text) gets the same result again; extra columns
-of the input are ignored. An id names one text.
+of the input are ignored, whatever their names. An id names one text; a row without an id is kept.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, stage
+from .shared import components, stage, unused
 from .wordhash import Words, chunks, mix, sequence_hash
 
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -224,10 +224,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = classes.join(closed.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of one document of each near-duplicate group, the one with the smallest id."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("bigint") == F.col("kept_id"), "left_semi")
+    name = unused(docs, "kept_id")
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(F.col(name)), "left_semi")

@@ -32,6 +32,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most so many rows; reads no more than one row beyond the bound."""
     return df.limit(rows + 1).count() <= rows

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import stage, unused
 from .wordhash import Words, chunks, slices
 
 MIN_WORDS = 50
@@ -185,9 +185,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the words of repeated passages; what is left of a text's words is joined by single spaces."""
-    lists = repeated_passages(docs, min_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+    _id, _spans = unused(docs, "_id"), unused(docs, "_spans")
+    lists = repeated_passages(docs, min_words).groupBy(F.col("doc_id").alias(_id)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(_spans))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    inside = lambda i: F.exists("_spans", lambda s: (s["start_word"] <= i) & (i < s["end_word"]))
+    inside = lambda i: F.exists(_spans, lambda s: (s["start_word"] <= i) & (i < s["end_word"]))
     left = F.transform(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~inside(x["i"])), lambda x: x["w"])
-    joined = docs.join(lists, docs["doc_id"].cast("bigint") == F.col("_id"), "left")
-    return joined.select(*(F.when(F.col("_spans").isNull(), docs["text"]).otherwise(F.array_join(left, " ")).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    joined = docs.join(lists, docs["doc_id"].cast("bigint") == F.col(_id), "left")
+    return joined.select(*(F.when(F.col(_spans).isNull(), docs["text"]).otherwise(F.array_join(left, " ")).alias("text") if c == "text" else docs[c] for c in docs.columns))

@@ -220,3 +220,22 @@ def test_byte_bpe(docs, corpus):
     assert all(r["n_tokens"] == len(library.encode_ordinary(texts[r["doc_id"]])) for r in byte_bpe.encode_digest(docs, path, pattern).collect())
     back = byte_bpe.decode_ids(byte_bpe.encode_ids(docs, path, pattern).select("doc_id", "ids"), path, pattern)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == texts
+
+
+CLASHING = ["_id", "_key", "_out", "_bad", "_spans", "kept_id", "n_lines", "n_dropped", "kept", "key", "place", "words", "item_id", "component_id"]
+
+
+def test_nulls_repeated_rows_and_clashing_names(spark):
+    text = "a b c d e f g h i j k l"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (None, "a text without id"), (3, ""), (4, " \n "), (5, "w " * 3000), (6, text + " m")], "doc_id bigint, text string")
+    docs = docs.select("*", *(F.lit("x").alias(c) for c in CLASHING))
+    items = spark.createDataFrame([(1, text), (None, "q"), (2, None)], "item_id bigint, text string")
+    ids = lambda rows: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows.collect())
+    plain = lambda *found: sorted((i is None, i or 0) for i in found)
+    assert ids(near_dedup.keep_one(docs)) == plain(1, 1, 2, 3, 4, 5, None)
+    assert ids(decontaminate.drop_contaminated(docs, items)) == plain(2, 3, 4, 5, None)
+    assert ids(line_dedup.drop_recurring_lines(docs)) == plain(1, 1, 2, 3, 4, 5, 6, None)
+    assert ids(suffix_dedup.drop_passages(docs)) == plain(1, 1, 2, 3, 4, 5, 6, None)
+    for kept in (near_dedup.keep_one, lambda d: decontaminate.drop_contaminated(d, items), line_dedup.drop_recurring_lines, suffix_dedup.drop_passages):
+        assert kept(docs.limit(0)).count() == 0
+        assert set(docs.columns) <= set(kept(docs.limit(0)).columns)
