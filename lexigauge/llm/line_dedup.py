@@ -6,6 +6,10 @@ agree outside the variable fields share a template. A template recurs if it stan
 between different pairs of neighbouring templates: a line inside copies of one document keeps its neighbours however many copies
 there are and doesn't count as recurring by that. Lines of a recurring template are dropped wherever they stand.
 
+Neighbours are sought past blank lines, a neighbour without a template counts by its own content, and once a template is known to
+recur, its lines are looked past as well: in rounds, until no more recur, so inner lines of a fixed block are found from its outer
+ones. ``adjacent=True`` looks at the very next lines only and takes all without a template as one, as the SQL of ``op8_line_dedup`` does.
+
 Lines of more than ``most_tokens`` tokens are passages, not lines of a template, and those of fewer than ``least_tokens`` have
 too little to tell; both stay. A line as such has a bounded length therefore, and hot templates are summed before each shuffle.
 
@@ -18,20 +22,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage, unused
+from .shared import maybe_broadcast, stage, unused
 
 LEAST_TOKENS, MOST_TOKENS = 3, 40
 LEAST_SURROUNDINGS = 10
 DEPTH = 3
+BROADCAST_ROWS = 200_000
 
 _WORD_GAP = r"[\x20\x09-\x0D]+"
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*"
 
 
+def _trimmed(text: Column) -> Column:
+    return F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit("\t\x0b\x0c\r ")))
+
+
 def templates(text: Column, depth: int = DEPTH, least: int = LEAST_TOKENS, most: int = MOST_TOKENS) -> Column:
     """Hash of each line's leaf and template, null for a line outside the bounds of tokens; each step runs once a line."""
-    trimmed = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit("\t\x0b\x0c\r ")))
-    masked = F.transform(trimmed, lambda line: F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line))
+    masked = F.transform(_trimmed(text), lambda line: F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line))
     tokens = F.transform(masked, lambda line: F.split(line, _WORD_GAP))
     inside = lambda t: (F.size(t) >= least) & (F.size(t) <= most)
     return F.transform(tokens, lambda t: F.when(inside(t), F.xxhash64(F.size(t), F.slice(t, 1, depth), F.slice(t, depth + 1, most))))
@@ -54,11 +62,48 @@ def recurring(found: DataFrame, surroundings: int = LEAST_SURROUNDINGS) -> DataF
     return found.groupBy("key", "around").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= surroundings)
 
 
-def drop_recurring_lines(docs: DataFrame, surroundings: int = LEAST_SURROUNDINGS, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH) -> DataFrame:
+def marked(docs: DataFrame, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH) -> DataFrame:
+    """Rows (doc_id, text_key, keys, marks): each line's template, and what it is to its neighbours (null if blank)."""
+    text = F.col("text").cast("string")
+    rows = docs.where("text is not null").select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text_key"), templates(text, depth, least, most).alias("keys"), _trimmed(text).alias("lines"))
+    own = F.transform("lines", lambda line: F.when(line != "", F.xxhash64(line)))
+    return rows.select("doc_id", "text_key", "keys", F.zip_with("keys", own, lambda key, mark: F.coalesce(key, mark)).alias("marks"))
+
+
+def _located(lined: DataFrame) -> DataFrame:
+    return lined.select("doc_id", "text_key", F.posexplode_outer("keys").alias("place", "key")).where("key is not null")
+
+
+def recurring_in_rounds(lined: DataFrame, surroundings: int = LEAST_SURROUNDINGS) -> DataFrame:
+    """Templates (key) of ``marked`` that recur; rounds go on as long as they find more."""
+    texts = stage(lined.groupBy("text_key").agg(F.first("keys").alias("keys"), F.first("marks").alias("marks")), "texts")
+    hot, rows = None, texts.withColumn("out", F.lit(None).cast("array<int>"))
+    while True:
+        seen = F.transform("marks", lambda mark, i: F.struct(F.get("keys", i).alias("key"), F.when(F.col("out").isNull() | ~F.array_contains("out", i), mark).alias("mark")))
+        left = rows.select(F.filter(seen, lambda x: x["mark"].isNotNull()).alias("left"))
+        mark = lambda i: F.coalesce(F.get("left", i)["mark"], F.lit(0))
+        found = left.select(F.explode(F.transform("left", lambda x, i: F.struct(x["key"].alias("key"), F.xxhash64(mark(i - 1), mark(i + 1)).alias("around")))).alias("x"))
+        now = recurring(found.select("x.key", "x.around").where("key is not null"), surroundings).select("key")
+        new = stage(now, "recurring")  # lines of known ones are out of left
+        if new.isEmpty():
+            return new if hot is None else hot
+        hot = new if hot is None else stage(hot.unionByName(new), "recurring")
+        out = texts.select("text_key", F.posexplode("keys").alias("place", "key")).join(maybe_broadcast(hot, BROADCAST_ROWS), "key").groupBy("text_key").agg(F.collect_set("place").alias("out"))
+        rows = texts.join(out, "text_key", "left")
+
+
+def drop_recurring_lines(
+    docs: DataFrame, surroundings: int = LEAST_SURROUNDINGS, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH, adjacent: bool = False
+) -> DataFrame:
     """``docs`` with the lines of recurring templates out of ``text``, plus ``n_lines`` and ``n_dropped``."""
     _id, _key, _out = (unused(docs, c) for c in ("_id", "_key", "_out"))
-    found = stage(places(docs, least, most, depth), "places")
-    out = found.join(recurring(found, surroundings), "key").groupBy(F.col("doc_id").alias(_id), F.col("text_key").alias(_key)).agg(F.collect_set("place").alias(_out))
+    if adjacent:
+        found = stage(places(docs, least, most, depth), "places")
+        hot = recurring(found, surroundings)
+    else:
+        lined = stage(marked(docs, least, most, depth), "marked")
+        found, hot = _located(lined), maybe_broadcast(recurring_in_rounds(lined, surroundings), BROADCAST_ROWS)
+    out = found.join(hot, "key").groupBy(F.col("doc_id").alias(_id), F.col("text_key").alias(_key)).agg(F.collect_set("place").alias(_out))
     text = F.col("text").cast("string")
     joined = docs.join(out, docs["doc_id"].eqNullSafe(F.col(_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(_key)), "left")
     lines = F.split(text, "\n", -1)
