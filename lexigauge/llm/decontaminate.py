@@ -2,9 +2,10 @@
 
 Fingerprints have 64 bits over the words of a window (ASCII lower case, ASCII punctuation off), each weighted by how
 often it stands there. A document is compared
-with an item through windows of the item's length. Every word shingle of a document that also stands in an item places the item's
-window there (a window with a positive shingle similarity has such a shingle, so no other window can match), and windows that
-several shingles place are one. Fingerprints of windows and of items of that length
+with an item through windows of the item's length. Every word shingle of a document that also stands in an item places all windows of
+that length that cover it, whatever its offset in the item, so an item with its sentences swapped is found. A similarity of ``percent``
+takes as many shared places in a window, so only windows that hold them are kept; no other window can match.
+Every matching window is a row, also those shifted by a few words. Fingerprints of windows and of items of that length
 meet in multi-index Hamming blocks: 64 bits are cut into radius + 1 blocks, and fingerprints within the radius agree in at
 least one of them, so all within it are found. Candidates are verified by the exact
 weighted Jaccard similarity of their 5-word shingles (of shorter items: of the whole sequence).
@@ -55,10 +56,9 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
 
 
 def simhash(words: DataFrame, key: str) -> DataFrame:
-    """Rows (key, print): 64-bit SimHash of the bag of words of each key, from rows (key, word), summed bit by bit."""
-    h = F.xxhash64("word")
+    """Rows (key, print): 64-bit SimHash of the bag of words of each key, from rows (key, h) of its words' hashes, summed bit by bit."""
     bits = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
-    sums = words.select(key, h.alias("h")).groupBy(key).agg(F.count("*").alias("n"), *bits)
+    sums = words.groupBy(key).agg(F.count("*").alias("n"), *bits)
     value = F.lit(0).cast("bigint")
     for b in range(64):
         one = F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")
@@ -83,27 +83,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radius: in
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words_of(F.col("text")).alias("words")).where("doc_id is not null")
     source = _hashed(texts, ["doc_id"])
     for s in sizes:
-        mine = hashed.where(F.least("n", F.lit(SHINGLE)) == s).select("item_id", "n", F.posexplode(_shingles("hashes", s)).alias("offset", "shingle"))
-        # the item's place of a shingle; a shingle repeated in the item places several windows
+        mine = hashed.where(F.least("n", F.lit(SHINGLE)) == s).select("item_id", "n", F.explode(_shingles("hashes", s)).alias("shingle")).distinct()
         mine = maybe_broadcast(mine, BROADCAST_ROWS)
-        spread = source.select("doc_id", F.posexplode(_shingles("hashes", s)).alias("place", "shingle"))
-        placed = spread.join(mine, "shingle").select("doc_id", (F.col("place") - F.col("offset")).alias("start"), "n")
+        spread = source.select("doc_id", F.size("hashes").alias("size"), F.posexplode(_shingles("hashes", s)).alias("place", "shingle"))
+        starts = F.sequence(F.col("place") + s - F.col("n"), "place")
+        shared = spread.join(mine, "shingle").select("doc_id", "size", "item_id", "n", F.explode(starts).alias("start")).groupBy("doc_id", "size", "item_id", "n", "start").agg(F.count("*").alias("held"))
+        # shingles of the item and of the window, which is cut at the text's ends; held is at least what they have in common
+        a, b = F.col("n") - s + 1, F.least(F.col("start") + F.col("n"), "size") - F.greatest("start", F.lit(0)) - s + 1
+        both = F.least("held", a, b)
+        placed = shared.where(both * 100 >= (a + b - both) * percent).select("doc_id", "start", "n")
         found = placed if found is None else found.unionByName(placed)
     if found is None:
         empty = "doc_id bigint, item_id bigint, start_word int, n_words int, hamming int, similarity double"
         return docs.sparkSession.createDataFrame([], empty)
     found = stage(found.distinct(), "windows")
     hit = maybe_broadcast(found.select("doc_id").distinct(), BROADCAST_ROWS)
-    held = texts.join(hit, "doc_id", "left_semi").join(found, "doc_id")
+    held = source.join(hit, "doc_id", "left_semi").join(found, "doc_id")
     # windows at a text's ends are cut there
-    first, end = F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("n"), F.size("words"))
-    windows = held.select("doc_id", "start", "n", F.slice("words", first + 1, F.greatest(end - first, F.lit(0))).alias("words"))
-    windows = stage(windows.select("doc_id", "start", "n", "words", F.xxhash64("n", "words").alias("w1"), F.xxhash64("words", "n").alias("w2")).distinct(), "held")
+    first, end = F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("n"), F.size("hashes"))
+    windows = held.select("doc_id", "start", "n", F.slice("hashes", first + 1, F.greatest(end - first, F.lit(0))).alias("hashes"))
+    windows = stage(windows.select("doc_id", "start", "n", "hashes", F.concat_ws("-", F.xxhash64("n", "hashes"), F.xxhash64("hashes", "n")).alias("kind")), "held")
     # equal windows of many documents are looked at once
-    kinds = windows.groupBy("w1", "w2").agg(F.first("n").alias("n"), F.first("words").alias("words"))
-    kinds = stage(kinds.select(F.concat_ws("-", "w1", "w2").alias("kind"), "n", "words"), "kinds")
-    prints = simhash(kinds.select("kind", F.explode("words").alias("word")), "kind").join(kinds.select("kind", "n"), "kind")
-    item_prints = stage(simhash(items.select("item_id", F.explode("words").alias("word")), "item_id").join(items.select("item_id", "n"), "item_id"), "item_prints")
+    kinds = stage(windows.groupBy("kind").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "kinds")
+    prints = simhash(kinds.select("kind", F.explode("hashes").alias("h")), "kind").join(kinds.select("kind", "n"), "kind")
+    item_prints = stage(simhash(hashed.select("item_id", F.explode("hashes").alias("h")), "item_id").join(items.select("item_id", "n"), "item_id"), "item_prints")
     blocks = lambda rows: rows.select(
         "*", F.posexplode(F.array(*(F.shiftrightunsigned("print", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in _blocks(radius)))).alias("block", "value")
     )
@@ -112,16 +115,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radius: in
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     near = left.join(right, ["n", "block", "value"]).where(distance <= radius).select("kind", "item_id", distance.alias("hamming")).distinct()
     near = stage(near, "candidates")
-    of_kind = _counted(_hashed(kinds, ["kind"]), "kind").join(near.select("kind").distinct(), "kind", "left_semi")
-    of_item = _counted(hashed, "item_id")
+    of_kind = _counted(kinds, "kind").join(near.select("kind").distinct(), "kind", "left_semi")
+    of_item = stage(_counted(hashed, "item_id"), "of_item")
     size = lambda rows, key, name: rows.groupBy(key).agg(F.sum("weight").alias(name))
     both = (
-        near.join(of_kind, "kind").withColumnRenamed("weight", "weight_k").join(of_item, ["item_id", "shingle"])
+        near.join(of_kind, "kind").withColumnRenamed("weight", "weight_k").join(maybe_broadcast(of_item, BROADCAST_ROWS), ["item_id", "shingle"])
         .groupBy("kind", "item_id").agg(F.first("hamming").alias("hamming"), F.sum(F.least("weight", "weight_k")).alias("both"))
     )
     sized = both.join(size(of_kind, "kind", "a"), "kind").join(size(of_item, "item_id", "b"), "item_id").withColumn("either", F.col("a") + F.col("b") - F.col("both"))
     good = sized.where(F.col("both") * 100 >= F.col("either") * percent).select("kind", "item_id", "hamming", (F.col("both") / F.col("either")).alias("similarity"))
-    placed = windows.select("doc_id", F.greatest("start", F.lit(0)).alias("start_word"), F.size("words").alias("n_words"), F.concat_ws("-", "w1", "w2").alias("kind"))
+    placed = windows.select("doc_id", F.greatest("start", F.lit(0)).alias("start_word"), F.size("hashes").alias("n_words"), "kind").distinct()
     return placed.join(good, "kind").select("doc_id", "item_id", "start_word", "n_words", "hamming", "similarity")
 
 

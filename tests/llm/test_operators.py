@@ -133,6 +133,18 @@ def test_decontamination(spark):
     assert decontaminate.matches(table.where("false"), benchmark).count() == 0
 
 
+def test_decontamination_of_swapped_halves(spark):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    fill = lambda: " ".join(words(50))
+    items = [words(n) for n in (40, 60)]
+    rows = [(k, f"{fill()} {' '.join(x[len(x) // 2 :] + x[: len(x) // 2])} {fill()}", "s") for k, x in enumerate(items)] + [(2, " ".join(items[0][20:] + items[0][:20]), "s"), (3, fill(), "s")]
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.matches(spark.createDataFrame(rows, SCHEMA), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 0), (1, 1), (2, 0)}
+    assert {r["hamming"] for r in found if r["start_word"] == (50 if r["doc_id"] < 2 else 0) and r["n_words"] >= 40} == {0}
+
+
 def test_passages(docs, corpus):
     words = {i: WORD.findall(t or "") for i, t, _ in corpus}
     seen = Counter(tuple(x[k : k + 50]) for x in words.values() for k in range(len(x) - 49))
