@@ -29,7 +29,10 @@ from .wordhash import SEPARATOR, Words, chunks, mix, slices
 MAX_LABELLED = 4000
 #: An n-gram counts if its G statistic reaches this (chance: under one in ten million) and it is in so many texts.
 LEAST_G, LEAST_TEXTS, MOST_FEATURES = 30.0, 5, 2048
-QUALITY_THRESHOLD, TOXIC_THRESHOLD = 0.2, 0.5
+#: Toxic words are rare: for toxicity a lower G counts (chance: under one in a hundred thousand).
+TOXIC_LEAST_G = 20.0
+#: Chosen on held-out folds of sf0.1, figures in the README.
+QUALITY_THRESHOLD, TOXIC_THRESHOLD = 0.2, 0.2
 SYMBOLS = "#*$%&|<>"
 
 #: Separators of n-gram words: all ASCII but letters and digits.
@@ -147,7 +150,7 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
-def _select(present: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def _select(present: list[np.ndarray], y: np.ndarray, least_g: float = LEAST_G) -> np.ndarray:
     """Hashes of the n-grams that go with y, by the G statistic of their presence."""
     split = lambda which: np.unique(np.concatenate([present[i] for i in np.flatnonzero(which)]), return_counts=True)
     (h1, c1), (h0, c0) = split(y > 0), split(y == 0)
@@ -160,12 +163,12 @@ def _select(present: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     rate = (a + b) / (n1 + n0)
     part = lambda seen, want: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(want, 1e-9)), 0)
     g = 2 * (part(a, n1 * rate) + part(n1 - a, n1 * (1 - rate)) + part(b, n0 * rate) + part(n0 - b, n0 * (1 - rate)))
-    best = np.flatnonzero(g >= LEAST_G)
+    best = np.flatnonzero(g >= least_g)
     best = best[np.lexsort((hashes[best], -g[best]))][:MOST_FEATURES]
     return np.sort(hashes[best])
 
 
-def fit(present: list[np.ndarray], y: np.ndarray, folds: int = 5) -> Model:
+def fit(present: list[np.ndarray], y: np.ndarray, folds: int = 5, least_g: float = LEAST_G) -> Model:
     """A calibrated model of y from the distinct n-gram hashes present in each text."""
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
@@ -175,7 +178,7 @@ def fit(present: list[np.ndarray], y: np.ndarray, folds: int = 5) -> Model:
     def trained(rows: np.ndarray):
         if not 0 < y[rows].sum() < len(rows):
             return None
-        hashes = _select([present[i] for i in rows], y[rows])
+        hashes = _select([present[i] for i in rows], y[rows], least_g)
         x = matrix(rows, hashes)
         w, bias = _newton(x, y[rows].astype(np.float32))
         return hashes, w, bias
@@ -228,7 +231,7 @@ def labelled_grams(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Model, Model]:
     """Models of quality and of toxicity."""
     present, quality, toxic = labelled_grams(docs, labels, max_labelled)
-    return fit(present, quality), fit(present, toxic)
+    return fit(present, quality), fit(present, toxic, least_g=TOXIC_LEAST_G)
 
 
 _COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -118,6 +118,17 @@ def test_quality_on_held_out_rows(spark):
     assert none.where("not base_failed and not kept").count() == 0
 
 
+def test_rare_toxic_words_on_held_out_rows(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdeghinorst") for _ in range(5)) for _ in range(300)]
+    bad = ["zuqqaw", "xyvvoj", "kwuzzif", "pjyxxum", "qfowwyk", "vzikkux", "wxajjuz", "fyquvvy"]
+    text = lambda *more: " ".join([*(rng.choice(words) for _ in range(40)), *more])
+    rows = [(i, text(bad[i // 6]) if i < 48 else text(), "s") for i in range(480)] + [(1000 + i, text(bad[i % 8]), "s") for i in range(24)] + [(2000 + i, text(), "s") for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, int(i < 48)) for i in range(480)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    assert not any(got[1000 + i] for i in range(24)) and all(got[2000 + i] for i in range(100))
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
