@@ -10,8 +10,9 @@ Neighbours are sought past blank lines, a neighbour without a template counts by
 recur, its lines are looked past as well: in rounds, until no more recur, so inner lines of a fixed block are found from its outer
 ones. ``adjacent=True`` looks at the very next lines only and takes all without a template as one, as the SQL of ``op8_line_dedup`` does.
 
-Lines of more than ``most_tokens`` tokens are passages, not lines of a template, and those of fewer than ``least_tokens`` have
-too little to tell; both stay. A line as such has a bounded length therefore, and hot templates are summed before each shuffle.
+Lines of more than ``most_tokens`` tokens or fewer than ``least_tokens`` are their own template by their exact text, outer white
+space off; short ones, which have less to tell, take more surroundings to recur. Blank lines stay, and with ``adjacent=True`` short and
+long lines do. Lines are compared by hashes of bounded size, and hot templates are summed before each shuffle.
 
 Defined cases: null text stays null with 0 lines; empty text has one empty line, which stays; of repeated rows, each gets the same
 result and together they count once; a document of recurring lines only becomes empty; extra columns are kept.
@@ -26,6 +27,7 @@ from .shared import maybe_broadcast, stage, unused
 
 LEAST_TOKENS, MOST_TOKENS = 3, 40
 LEAST_SURROUNDINGS = 10
+SHORT_SURROUNDINGS = 15
 DEPTH = 3
 BROADCAST_ROWS = 200_000
 
@@ -63,27 +65,29 @@ def recurring(found: DataFrame, surroundings: int = LEAST_SURROUNDINGS) -> DataF
 
 
 def marked(docs: DataFrame, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """Rows (doc_id, text_key, keys, marks): each line's template, and what it is to its neighbours (null if blank)."""
+    """Rows (doc_id, text_key, keys, short): each line's template (null if blank), and whether it has fewer than ``least`` tokens."""
     text = F.col("text").cast("string")
-    rows = docs.where("text is not null").select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text_key"), templates(text, depth, least, most).alias("keys"), _trimmed(text).alias("lines"))
+    rows = docs.where("text is not null").select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text_key"), templates(text, depth, least, most).alias("found"), _trimmed(text).alias("lines"))
     own = F.transform("lines", lambda line: F.when(line != "", F.xxhash64(line)))
-    return rows.select("doc_id", "text_key", "keys", F.zip_with("keys", own, lambda key, mark: F.coalesce(key, mark)).alias("marks"))
+    short = F.transform("lines", lambda line: F.size(F.split(line, _WORD_GAP, least)) < least)
+    return rows.select("doc_id", "text_key", F.zip_with("found", own, lambda key, mark: F.coalesce(key, mark)).alias("keys"), short.alias("short"))
 
 
 def _located(lined: DataFrame) -> DataFrame:
     return lined.select("doc_id", "text_key", F.posexplode_outer("keys").alias("place", "key")).where("key is not null")
 
 
-def recurring_in_rounds(lined: DataFrame, surroundings: int = LEAST_SURROUNDINGS) -> DataFrame:
+def recurring_in_rounds(lined: DataFrame, surroundings: int = LEAST_SURROUNDINGS, short_surroundings: int = SHORT_SURROUNDINGS) -> DataFrame:
     """Templates (key) of ``marked`` that recur; rounds go on as long as they find more."""
-    texts = stage(lined.groupBy("text_key").agg(F.first("keys").alias("keys"), F.first("marks").alias("marks")), "texts")
+    texts = stage(lined.groupBy("text_key").agg(F.first("keys").alias("keys"), F.first("short").alias("short")), "texts")
     hot, rows = None, texts.withColumn("out", F.lit(None).cast("array<int>"))
     while True:
-        seen = F.transform("marks", lambda mark, i: F.struct(F.get("keys", i).alias("key"), F.when(F.col("out").isNull() | ~F.array_contains("out", i), mark).alias("mark")))
-        left = rows.select(F.filter(seen, lambda x: x["mark"].isNotNull()).alias("left"))
-        mark = lambda i: F.coalesce(F.get("left", i)["mark"], F.lit(0))
-        found = left.select(F.explode(F.transform("left", lambda x, i: F.struct(x["key"].alias("key"), F.xxhash64(mark(i - 1), mark(i + 1)).alias("around")))).alias("x"))
-        now = recurring(found.select("x.key", "x.around").where("key is not null"), surroundings).select("key")
+        seen = F.transform("keys", lambda key, i: F.struct(F.get("short", i).alias("short"), F.when(F.col("out").isNull() | ~F.array_contains("out", i), key).alias("key")))
+        left = rows.select(F.filter(seen, lambda x: x["key"].isNotNull()).alias("left"))
+        near = lambda i: F.coalesce(F.get("left", i)["key"], F.lit(0))
+        found = left.select(F.explode(F.transform("left", lambda x, i: F.struct(x["key"].alias("key"), x["short"].alias("short"), F.xxhash64(near(i - 1), near(i + 1)).alias("around")))).alias("x")).select("x.*")
+        n = found.groupBy("key", "short", "around").agg(F.lit(1).alias("one")).groupBy("key", "short").agg(F.count("*").alias("n"))
+        now = n.where(F.col("n") >= F.when(F.col("short"), short_surroundings).otherwise(surroundings)).select("key").distinct()
         new = stage(now, "recurring")  # lines of known ones are out of left
         if new.isEmpty():
             return new if hot is None else hot
@@ -93,7 +97,8 @@ def recurring_in_rounds(lined: DataFrame, surroundings: int = LEAST_SURROUNDINGS
 
 
 def drop_recurring_lines(
-    docs: DataFrame, surroundings: int = LEAST_SURROUNDINGS, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH, adjacent: bool = False
+    docs: DataFrame, surroundings: int = LEAST_SURROUNDINGS, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH, adjacent: bool = False,
+    short_surroundings: int = SHORT_SURROUNDINGS,
 ) -> DataFrame:
     """``docs`` with the lines of recurring templates out of ``text``, plus ``n_lines`` and ``n_dropped``."""
     _id, _key, _out = (unused(docs, c) for c in ("_id", "_key", "_out"))
@@ -102,7 +107,7 @@ def drop_recurring_lines(
         hot = recurring(found, surroundings)
     else:
         lined = stage(marked(docs, least, most, depth), "marked")
-        found, hot = _located(lined), maybe_broadcast(recurring_in_rounds(lined, surroundings), BROADCAST_ROWS)
+        found, hot = _located(lined), maybe_broadcast(recurring_in_rounds(lined, surroundings, short_surroundings), BROADCAST_ROWS)
     out = found.join(hot, "key").groupBy(F.col("doc_id").alias(_id), F.col("text_key").alias(_key)).agg(F.collect_set("place").alias(_out))
     text = F.col("text").cast("string")
     joined = docs.join(out, docs["doc_id"].eqNullSafe(F.col(_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(_key)), "left")

@@ -221,6 +221,16 @@ def test_lines_in_like_surroundings(spark):
     assert all(got[200 + i]["text"] == copied for i in range(30))
 
 
+def test_short_and_long_lines(spark):
+    rng = random.Random(11)
+    line = lambda n=8: " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(n))
+    notice = line(60)
+    rows = [(i, f"{line()}\nShare\n{line()}\n{notice}\n{line()}", "s") for i in range(20)] + [(100 + i, f"{line()}\nSeldom\n{line()}", "s") for i in range(12)]
+    got = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i]["n_dropped"] == 2 and "Share" not in got[i]["text"] and notice not in got[i]["text"] for i in range(20))
+    assert all(got[100 + i]["n_dropped"] == 0 for i in range(12))
+
+
 def test_html():
     page = '<html><body><nav>menu</nav><div class="ad">buy</div><article><h1>Title</h1><p>One <b>bold</b>\n two &amp; three<p>Four<div class="comments">no</div></article><footer>end</footer>'
     assert html_extract.main_text(page, None) == "Title One bold two & three Four"
