@@ -1,123 +1,131 @@
 """Line dedup by a log-template tree of fixed depth, all in DataFrame operations.
 
-A line (between line feeds, outer white space off) is parsed down a tree: first by its count of tokens, then by its leading
-tokens, with every token that has a digit or an at sign generalised to a variable field. Below that depth, lines whose tokens
-agree outside the variable fields share a template. A template recurs if it stands in many different surroundings, that is,
-between different pairs of neighbouring templates: a line inside copies of one document keeps its neighbours however many copies
-there are and doesn't count as recurring by that. Lines of a recurring template are dropped wherever they stand.
-
-Neighbours are sought past blank lines, a neighbour without a template counts by its own content, and once a template is known to
-recur, its lines are looked past as well: in rounds, until no more recur, so inner lines of a fixed block are found from its outer
-ones. ``adjacent=True`` looks at the very next lines only and takes all without a template as one, as the SQL of ``op8_line_dedup`` does.
-
-Lines of more than ``most_tokens`` tokens or fewer than ``least_tokens`` are their own template by their exact text, outer white
-space off; short ones, which have less to tell, take more surroundings to recur. Blank lines stay, and with ``adjacent=True`` short and
-long lines do. Lines are compared by hashes of bounded size, and hot templates are summed before each shuffle.
-
-Defined cases: null text stays null with 0 lines; empty text has one empty line, which stays; of repeated rows, each gets the same
-result and together they count once; a document of recurring lines only becomes empty; extra columns are kept.
+A line (between line feeds, outer white space off) is parsed down a tree: first by its count of tokens, then by its leading tokens. Tokens
+with a digit or an at sign are variable fields from the start. At each of the first ``depth`` levels a token keeps a branch of its own if
+lines of at least ``least`` different texts take it there, else it goes down the branch of variable fields; a line with more than half of these
+levels variable isn't parsed on. In a leaf, a token at a later place is constant if lines of so many texts have it there, and a variable field
+if not. What a line's tokens then read is its template; it needs constants for half of its tokens at least, and three of them if a field was
+found variable by comparison only.
+
+A template recurs if it stands in at least ``least`` different texts (equal texts count once, a document's own repetitions don't count)
+and in as many different surroundings, and no surrounding holds more than half of its texts: a line inside near-copies of one document
+keeps its neighbours and doesn't count as recurring by that. A surrounding is the pair of leaves (count and leading tokens) of the
+next lines on both sides, past blank lines and past lines already known to recur; so in rounds, until no more recur, a
+fixed block is found from its outer lines on. Lines of recurring templates are dropped wherever they stand, whatever their length.
+
+Only keys of at most eight bytes and counts summed before the shuffle travel, apart from the lines of leaves that could recur. Frequent
+branches, constants and templates are broadcast if their rows are few, and else joined with the heaviest keys apart (``shared.heavy_join``).
+
+Defined cases: null text stays null with 0 lines; empty text has one empty line, which stays, as all blank lines do; very long lines are
+taken whole; of repeated rows, each gets the same result and together they count once; a document of recurring lines only
+becomes empty; extra columns are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast, stage, unused
+from .shared import heavy_join, stage, unused
 
-LEAST_TOKENS, MOST_TOKENS = 3, 40
-LEAST_SURROUNDINGS = 10
-SHORT_SURROUNDINGS = 15
+LEAST_TEXTS = 10
 DEPTH = 3
-BROADCAST_ROWS = 200_000
+#: Constant tokens without which a template has no variable fields but those with a digit or an at sign.
+LEAST_CONSTANTS = 3
+VARIABLE = "<*>"
 
 _WORD_GAP = r"[\x20\x09-\x0D]+"
-_VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*"
+_FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*"
 
 
-def _trimmed(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit("\t\x0b\x0c\r ")))
+def _tokens(text: Column) -> Column:
+    """Tokens of each line, variable fields masked; a blank line has one empty token. Each step runs once a line."""
+    lines = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit("\t\x0b\x0c\r ")))
+    masked = F.transform(lines, lambda line: F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _FIELD, VARIABLE)).otherwise(line))
+    return F.transform(masked, lambda line: F.split(line, _WORD_GAP))
 
 
-def templates(text: Column, depth: int = DEPTH, least: int = LEAST_TOKENS, most: int = MOST_TOKENS) -> Column:
-    """Hash of each line's leaf and template, null for a line outside the bounds of tokens; each step runs once a line."""
-    masked = F.transform(_trimmed(text), lambda line: F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _VARIABLE, "<*>")).otherwise(line))
-    tokens = F.transform(masked, lambda line: F.split(line, _WORD_GAP))
-    inside = lambda t: (F.size(t) >= least) & (F.size(t) <= most)
-    return F.transform(tokens, lambda t: F.when(inside(t), F.xxhash64(F.size(t), F.slice(t, 1, depth), F.slice(t, depth + 1, most))))
-
-
-def _lined(docs: DataFrame, least: int, most: int, depth: int) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.where("text is not null").select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text_key"), templates(text, depth, least, most).alias("keys"))
-
-
-def places(docs: DataFrame, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """Every line that has a template: (doc_id, text_key, place, key, around), around being its neighbours' hash."""
-    near = lambda i: F.coalesce(F.get("keys", i), F.lit(0))
-    found = _lined(docs, least, most, depth).select("doc_id", "text_key", "keys", F.posexplode_outer("keys").alias("place", "key")).where("key is not null")  # outer: no filter that makes the keys twice
-    return found.select("doc_id", "text_key", "place", "key", F.xxhash64(near(F.col("place") - 1), near(F.col("place") + 1)).alias("around"))
-
-
-def recurring(found: DataFrame, surroundings: int = LEAST_SURROUNDINGS) -> DataFrame:
-    """Templates (key, n) of ``places`` that stand in at least so many different surroundings."""
-    return found.groupBy("key", "around").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= surroundings)
-
-
-def marked(docs: DataFrame, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """Rows (doc_id, text_key, keys, short): each line's template (null if blank), and whether it has fewer than ``least`` tokens."""
+def _lined(docs: DataFrame, depth: int) -> DataFrame:
+    """Rows (text_key, place, n, leaf, tokens) of every line that isn't blank."""
     text = F.col("text").cast("string")
-    rows = docs.where("text is not null").select(F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("text_key"), templates(text, depth, least, most).alias("found"), _trimmed(text).alias("lines"))
-    own = F.transform("lines", lambda line: F.when(line != "", F.xxhash64(line)))
-    short = F.transform("lines", lambda line: F.size(F.split(line, _WORD_GAP, least)) < least)
-    return rows.select("doc_id", "text_key", F.zip_with("found", own, lambda key, mark: F.coalesce(key, mark)).alias("keys"), short.alias("short"))
-
-
-def _located(lined: DataFrame) -> DataFrame:
-    return lined.select("doc_id", "text_key", F.posexplode_outer("keys").alias("place", "key")).where("key is not null")
-
-
-def recurring_in_rounds(lined: DataFrame, surroundings: int = LEAST_SURROUNDINGS, short_surroundings: int = SHORT_SURROUNDINGS) -> DataFrame:
-    """Templates (key) of ``marked`` that recur; rounds go on as long as they find more."""
-    texts = stage(lined.groupBy("text_key").agg(F.first("keys").alias("keys"), F.first("short").alias("short")), "texts")
-    hot, rows = None, texts.withColumn("out", F.lit(None).cast("array<int>"))
+    rows = docs.where("text is not null").select(F.xxhash64(text).alias("text_key"), F.posexplode(_tokens(text)).alias("place", "tokens"))
+    n = F.size("tokens")
+    return rows.where((n > 1) | (F.get("tokens", F.lit(0)) != "")).select("text_key", "place", n.alias("n"), F.xxhash64(n, F.slice("tokens", 1, depth)).alias("leaf"), "tokens")
+
+
+def _in_texts(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """Keys (key, weight) that lines of at least so many different texts have."""
+    return rows.select(key, "text_key").distinct().groupBy(key).agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+
+
+def templates(lines: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) -> DataFrame:
+    """Rows (text_key, place, key): the template of each line that has one and shares it with at least ``least`` texts."""
+    at = lines.select("text_key", "place", "n", "tokens", F.xxhash64("n").alias("node"), F.lit(0).alias("wild"), F.lit(0).alias("found"))
+    for d in range(depth):
+        token = F.get("tokens", F.lit(d))
+        at = at.withColumn("branch", F.when((F.col("n") > d) & (token != VARIABLE), F.xxhash64("node", token)))
+        common = stage(_in_texts(at.where("branch is not null"), "branch", least).withColumn("known", F.lit(True)), "branches")
+        at = heavy_join(at, common, "branch", "left")
+        variable = (F.col("n") > d) & F.col("known").isNull()
+        node = F.when(F.col("n") <= d, F.col("node")).when(variable, F.xxhash64("node", F.lit(VARIABLE))).otherwise(F.col("branch"))
+        at = at.select("text_key", "place", "n", "tokens", node.alias("node"), (F.col("wild") + variable.cast("int")).alias("wild"), (F.col("found") + (variable & F.col("branch").isNotNull()).cast("int")).alias("found"))
+        at = at.where(F.col("wild") * 2 <= F.least("n", F.lit(depth)))
+    leaves = stage(_in_texts(at, "node", least), "leaves")
+    # equal texts have equal lines
+    live = stage(heavy_join(at, leaves, "node").dropDuplicates(["text_key", "place"]).select("text_key", "place", "n", "node", "wild", "found", "tokens"), "live")
+    line = ["text_key", "place", "n", "node", "wild", "found"]
+    later = live.select(*line, F.posexplode(F.slice("tokens", depth + 1, F.greatest(F.col("n") - depth, F.lit(0)))).alias("i", "token"))
+    later = later.withColumn("cell", F.when(F.col("token") != VARIABLE, F.xxhash64("node", "i", "token")))
+    constant = stage(_in_texts(later.where("cell is not null"), "cell", least).withColumn("known", F.lit(True)), "constants")
+    read = heavy_join(later, constant, "cell", "left").withColumn("cell", F.when(F.col("known"), F.col("cell")))
+    missing = F.col("cell").isNull()
+    tails = read.groupBy(*line).agg(
+        F.sort_array(F.collect_list(F.struct("i", "cell"))).alias("cells"), F.sum(missing.cast("int")).alias("more"), F.sum((missing & (F.col("token") != VARIABLE)).cast("int")).alias("compared")
+    )
+    keyed = tails.select("text_key", "place", "n", F.xxhash64("node", F.col("cells.cell")).alias("key"), (F.col("wild") + F.col("more")).alias("wild"), (F.col("found") + F.col("compared")).alias("found"))
+    short = live.where(F.col("n") <= depth).select("text_key", "place", "n", F.col("node").alias("key"), "wild", "found")
+    good = (F.col("wild") * 2 <= F.col("n")) & ((F.col("found") == 0) | (F.col("n") - F.col("wild") >= LEAST_CONSTANTS))
+    found = stage(keyed.unionByName(short).where(good).select("text_key", "place", "key"), "templates")
+    return heavy_join(found, _in_texts(found, "key", least), "key").select("text_key", "place", "key")
+
+
+def recurring(lines: DataFrame, found: DataFrame, least: int = LEAST_TEXTS) -> DataFrame:
+    """Templates (key, weight) of ``templates`` that recur, weight being their lines; rounds go on as long as they find more."""
+    rows = lines.select("text_key", "place", "leaf").distinct().join(found, ["text_key", "place"], "left")
+    rows, hot = stage(rows, "placed"), None
+    inside = Window.partitionBy("text_key").orderBy("place")
     while True:
-        seen = F.transform("keys", lambda key, i: F.struct(F.get("short", i).alias("short"), F.when(F.col("out").isNull() | ~F.array_contains("out", i), key).alias("key")))
-        left = rows.select(F.filter(seen, lambda x: x["key"].isNotNull()).alias("left"))
-        near = lambda i: F.coalesce(F.get("left", i)["key"], F.lit(0))
-        found = left.select(F.explode(F.transform("left", lambda x, i: F.struct(x["key"].alias("key"), x["short"].alias("short"), F.xxhash64(near(i - 1), near(i + 1)).alias("around")))).alias("x")).select("x.*")
-        n = found.groupBy("key", "short", "around").agg(F.lit(1).alias("one")).groupBy("key", "short").agg(F.count("*").alias("n"))
-        now = n.where(F.col("n") >= F.when(F.col("short"), short_surroundings).otherwise(surroundings)).select("key").distinct()
-        new = stage(now, "recurring")  # lines of known ones are out of left
+        near = lambda f: F.coalesce(f("leaf").over(inside), F.lit(0))
+        around = rows.select("text_key", "place", "key", F.xxhash64(near(F.lag), near(F.lead)).alias("around")).where("key is not null")
+        # one surrounding a text, the first
+        texts = around.groupBy("key", "text_key").agg(F.min(F.struct("place", "around"))["around"].alias("around"), F.count("*").alias("lines"))
+        each = texts.groupBy("key", "around").agg(F.count("*").alias("texts"), F.sum("lines").alias("lines"))
+        sums = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("texts").alias("texts"), F.max("texts").alias("most"), F.sum("lines").alias("weight"))
+        new = stage(sums.where((F.col("n") >= least) & (F.col("most") * 2 <= F.col("texts"))).select("key", "weight"), "recurring")
         if new.isEmpty():
             return new if hot is None else hot
         hot = new if hot is None else stage(hot.unionByName(new), "recurring")
-        out = texts.select("text_key", F.posexplode("keys").alias("place", "key")).join(maybe_broadcast(hot, BROADCAST_ROWS), "key").groupBy("text_key").agg(F.collect_set("place").alias("out"))
-        rows = texts.join(out, "text_key", "left")
+        rows = stage(heavy_join(rows, new.withColumn("gone", F.lit(True)), "key", "left").where("gone is null").select("text_key", "place", "leaf", "key"), "placed")
 
 
-def drop_recurring_lines(
-    docs: DataFrame, surroundings: int = LEAST_SURROUNDINGS, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, depth: int = DEPTH, adjacent: bool = False,
-    short_surroundings: int = SHORT_SURROUNDINGS,
-) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) -> DataFrame:
     """``docs`` with the lines of recurring templates out of ``text``, plus ``n_lines`` and ``n_dropped``."""
-    _id, _key, _out = (unused(docs, c) for c in ("_id", "_key", "_out"))
-    if adjacent:
-        found = stage(places(docs, least, most, depth), "places")
-        hot = recurring(found, surroundings)
-    else:
-        lined = stage(marked(docs, least, most, depth), "marked")
-        found, hot = _located(lined), maybe_broadcast(recurring_in_rounds(lined, surroundings, short_surroundings), BROADCAST_ROWS)
-    out = found.join(hot, "key").groupBy(F.col("doc_id").alias(_id), F.col("text_key").alias(_key)).agg(F.collect_set("place").alias(_out))
+    _key, _out = (unused(docs, c) for c in ("_key", "_out"))
+    lines = stage(_lined(docs, depth), "lines")
+    found = stage(templates(lines, least, depth), "found")
+    out = heavy_join(found, recurring(lines, found, least), "key").groupBy("text_key").agg(F.collect_set("place").alias(_out))
     text = F.col("text").cast("string")
-    joined = docs.join(out, docs["doc_id"].eqNullSafe(F.col(_id)) & (F.xxhash64(docs["text"].cast("string")) == F.col(_key)), "left")
+    copies = docs.where("text is not null").groupBy(F.xxhash64(text).alias("text_key")).agg(F.count("*").alias("weight"))
+    out = stage(out.join(copies, "text_key").select(F.col("text_key").alias(_key), _out, "weight"), "out")
+    rows = docs.withColumn(_key, F.xxhash64(text))
+    joined = heavy_join(rows, out.select(_key, _out, F.col("weight").alias(unused(docs, "_weight"))), _key, "left", unused(docs, "_weight"))
     lines = F.split(text, "\n", -1)
     kept = F.when(F.col(_out).isNull(), text).otherwise(
         F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col(_out), s["i"])), lambda s: s["x"]), "\n")
     )
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(
-        *(kept.alias("text") if c == "text" else docs[c] for c in names),
+        *(kept.alias("text") if c == "text" else F.col(c) for c in names),
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
         F.when(F.col(_out).isNull(), 0).otherwise(F.size(_out)).cast("bigint").alias("n_dropped"),
     )

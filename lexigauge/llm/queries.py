@@ -50,8 +50,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the neighbours its SQL takes; the pipeline's stage looks past blank lines and known templates."""
-    out = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents"), adjacent=True)
+    out = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
@@ -73,26 +72,55 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_decontaminate, op4_near_dedup, op5_html_extract, op6_sharding, op7_suffix_dedup, op8_line_dedup, op9_chat_format, op10_byte_bpe, pipeline)}
 
-#: Words of a text in DuckDB, lower-cased and without ASCII punctuation where the operator does so.
-_MARKS = decontaminate._MARKS.replace("'", "''")
-
-SQL = {
-    "op8_line_dedup": rf"""
-with docs as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
-raw as (
-  select doc_id, text, i, lines[i] as line,
-    regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as trimmed
-  from (select doc_id, text, lines, unnest(generate_series(1, len(lines))) as i from docs)),
-masked as (
-  select *, list_transform(string_split_regex(trimmed, '[\x20\x09-\x0D]+'), lambda t: case when regexp_matches(t, '[0-9@]') then '<*>' else t end) as tokens from raw),
+#: Rounds that the SQL of op8 goes; those after the last that finds a line change nothing.
+_ROUNDS = 6
+
+
+def _line_dedup_sql() -> str:
+    least, depth, v = line_dedup.LEAST_TEXTS, line_dedup.DEPTH, f"'{line_dedup.VARIABLE}'"
+    parts = [rf"""texts as (select row_number() over () as t, text from (select distinct text from documents where text is not null)),
+raw as (select t, i, regexp_replace(string_split(text, chr(10))[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as line
+  from (select t, text, unnest(generate_series(1, len(string_split(text, chr(10))))) as i from texts)),
+lines as (select t, i, list_transform(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: case when regexp_matches(x, '[0-9@]') then {v} else x end) as tokens
+  from raw where line <> ''),
+at0 as (select t, i, len(tokens) as n, tokens, len(tokens)::varchar as node, 0 as wild, 0 as found from lines)"""]
+    for d in range(depth):
+        parts.append(f"""side{d} as (select *, case when n > {d} and tokens[{d + 1}] <> {v} then node || chr(1) || tokens[{d + 1}] end as branch from at{d}),
+common{d} as (select branch from side{d} where branch is not null group by branch having count(distinct t) >= {least}),
+at{d + 1} as (select * from (
+  select s.t, s.i, s.n, s.tokens, case when s.n <= {d} then s.node when c.branch is null then s.node || chr(1) || {v} else s.branch end as node,
+    s.wild + (s.n > {d} and c.branch is null)::int as wild, s.found + (s.n > {d} and c.branch is null and s.branch is not null)::int as found
+  from side{d} s left join common{d} c on s.branch = c.branch) where wild * 2 <= least(n, {depth}))""")
+    parts.append(f"""live as (select * from at{depth} where node in (select node from at{depth} group by node having count(distinct t) >= {least})),
+later as (select t, i, n, node, wild, found, p, tokens[p] as token from (select *, unnest(generate_series({depth + 1}, n)) as p from live where n > {depth})),
+constants as (select node, p, token from later where token <> {v} group by all having count(distinct t) >= {least}),
+tails as (
+  select l.t, l.i, l.n, l.node || chr(2) || string_agg(coalesce(c.token, {v}), chr(1) order by l.p) as key, any_value(l.wild) + sum((c.token is null)::int) as wild,
+    any_value(l.found) + sum((c.token is null and l.token <> {v})::int) as found
+  from later l left join constants c on l.node = c.node and l.p = c.p and l.token = c.token group by l.t, l.i, l.n, l.node),
 keyed as (
-  select *, case when trimmed <> '' and len(tokens) between {line_dedup.LEAST_TOKENS} and {line_dedup.MOST_TOKENS} then array_to_string(tokens, ' ') end as key from masked),
-around as (
-  select *, coalesce(lag(key) over w, '') || chr(1) || coalesce(lead(key) over w, '') as near from keyed window w as (partition by doc_id, text order by i)),
-hot as (select key from around where key is not null group by key having count(distinct near) >= {line_dedup.LEAST_SURROUNDINGS}),
+  select t, i, key from (select t, i, n, key, wild, found from tails union all select t, i, n, node, wild, found from live where n <= {depth})
+  where wild * 2 <= n and (found = 0 or n - wild >= {line_dedup.LEAST_CONSTANTS})),
+placed0 as (
+  select l.t, l.i, len(l.tokens)::varchar || chr(1) || array_to_string(l.tokens[1:{depth}], chr(1)) as leaf, k.key
+  from lines l left join (select * from keyed where key in (select key from keyed group by key having count(distinct t) >= {least})) k on l.t = k.t and l.i = k.i)""")
+    for r in range(_ROUNDS):
+        parts.append(f"""around{r} as (
+  select t, i, key, coalesce(lag(leaf) over w, '') || chr(3) || coalesce(lead(leaf) over w, '') as near from placed{r} window w as (partition by t order by i)),
+first{r} as (select key, t, min_by(near, i) as near from around{r} where key is not null group by key, t),
+hot{r} as (
+  select key from (select key, near, count(*) as texts from first{r} group by key, near) group by key having count(*) >= {least} and max(texts) * 2 <= sum(texts)),
+placed{r + 1} as (select * from placed{r} where key is null or key not in (select key from hot{r}))""")
+    hot = " union all ".join(f"select key from hot{r}" for r in range(_ROUNDS))
+    parts.append(f"""gone as (select t, i from placed0 where key in ({hot})),
 done as (
-  select a.doc_id, count(*) as n_lines, count(h.key) as n_dropped, coalesce(string_agg(a.line, chr(10) order by a.i) filter (where h.key is null), '') as kept
-  from around a left join hot h on a.key = h.key group by a.doc_id)
+  select t, count(*) as n_lines, count(gone_i) as n_dropped, coalesce(string_agg(line, chr(10) order by i) filter (where gone_i is null), '') as kept
+  from (select x.t, x.i, x.line, g.i as gone_i from (
+    select t, i, string_split(text, chr(10))[i] as line from (select t, text, unnest(generate_series(1, len(string_split(text, chr(10))))) as i from texts)) x
+    left join gone g on x.t = g.t and x.i = g.i) group by t)
 select d.doc_id, coalesce(x.n_lines, 0) as n_lines, coalesce(x.n_dropped, 0) as n_dropped, case when d.text is not null then sha256(x.kept) end as text_sha256
-from documents d left join done x on d.doc_id = x.doc_id""",
-}
+from documents d left join texts on d.text = texts.text left join done x on texts.t = x.t""")
+    return "with " + ",\n".join(parts)
+
+
+SQL = {"op8_line_dedup": _line_dedup_sql()}

@@ -50,6 +50,29 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if bounded(df, rows) else df
 
 
+#: Rows of a table broadcast whole, and of the heaviest keys broadcast apart.
+BROADCAST_ROWS, HEAVY_ROWS = 200_000, 1 << 12
+
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", weight: str = "weight") -> DataFrame:
+    """Join to a table with one row a key and, in ``weight``, how many rows of ``left`` have it; ``how`` is inner or left.
+
+    A table of few rows is broadcast. Of a larger one, only the keys that hold a ``HEAVY_ROWS``-th of all weight, at most so many, are broadcast,
+    so no key lands whole in one task; rows with other keys are shuffled. Rows with a null key match nothing. The weight column goes.
+    """
+    if bounded(right, BROADCAST_ROWS):
+        return left.join(F.broadcast(right), key, how).drop(weight)
+    total = right.agg(F.sum(weight)).first()[0]
+    heavy = F.broadcast(right.where(F.col(weight) * HEAVY_ROWS >= total))
+    rest = left.join(heavy.select(key), key, "left_anti")
+    light = right.where(F.col(weight) * HEAVY_ROWS < total)
+    empty = rest.where(F.col(key).isNull()) if how == "left" else None
+    parts = left.join(heavy, key).unionByName(rest.where(F.col(key).isNotNull()).join(light, key, how))
+    if empty is not None:
+        parts = parts.unionByName(empty, allowMissingColumns=True)
+    return parts.drop(weight)
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``links (a, b)``: rows (id, component), component = smallest id reachable.
 

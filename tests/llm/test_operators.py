@@ -196,41 +196,6 @@ def test_smallest_capacity_is_minimal():
         assert sharding.smallest_capacity(sums, k) == least(0, k)
 
 
-def test_line_dedup(spark):
-    rng = random.Random(5)
-    line = lambda: " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(8))
-    rows = [(i, f"{line()}\nPage {i} of the annual report\n{line()}", "s") for i in range(20)]
-    copied = f"{line()}\n{line()}\n{line()}"
-    rows += [(100 + i, copied, "s") for i in range(30)] + [(200, None, "s"), (201, "", "s")]
-    got = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert all(got[i]["n_dropped"] == 1 and "report" not in got[i]["text"] for i in range(20))
-    assert all(got[100 + i]["text"] == copied for i in range(30))
-    assert got[200]["text"] is None and got[200]["n_lines"] == 0 and got[201]["text"] == ""
-
-
-def test_lines_in_like_surroundings(spark):
-    rng = random.Random(8)
-    line = lambda n=8: " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(n))
-    footer = "Sent from the old office\nAll rights are kept here\nPlease think before you print"
-    rows = [(i, f"{line(50)}\n\nSee our terms of use\n\n{line(50)}", "s") for i in range(20)] + [(100 + i, f"{line()}\n{footer}", "s") for i in range(20)]
-    copied = f"{line(50)}\n\n{line()}\n\n{line(50)}"
-    rows += [(200 + i, copied, "s") for i in range(30)]
-    got = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert all(got[i]["n_dropped"] == 1 and "terms" not in got[i]["text"] for i in range(20))
-    assert all(got[100 + i]["n_dropped"] == 3 and "\n" not in got[100 + i]["text"] for i in range(20))
-    assert all(got[200 + i]["text"] == copied for i in range(30))
-
-
-def test_short_and_long_lines(spark):
-    rng = random.Random(11)
-    line = lambda n=8: " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(n))
-    notice = line(60)
-    rows = [(i, f"{line()}\nShare\n{line()}\n{notice}\n{line()}", "s") for i in range(20)] + [(100 + i, f"{line()}\nSeldom\n{line()}", "s") for i in range(12)]
-    got = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert all(got[i]["n_dropped"] == 2 and "Share" not in got[i]["text"] and notice not in got[i]["text"] for i in range(20))
-    assert all(got[100 + i]["n_dropped"] == 0 for i in range(12))
-
-
 def test_html():
     page = '<html><body><nav>menu</nav><div class="ad">buy</div><article><h1>Title</h1><p>One <b>bold</b>\n two &amp; three<p>Four<div class="comments">no</div></article><footer>end</footer>'
     assert html_extract.main_text(page, None) == "Title One bold two & three Four"
