@@ -2,10 +2,10 @@
 
 A line (between line feeds, outer white space off) is parsed down a tree: first by its count of tokens, then by its leading tokens. Tokens
 with a digit or an at sign are variable fields from the start. At each of the first ``depth`` levels a token keeps a branch of its own if
-lines of at least ``least`` different texts take it there, else it goes down the branch of variable fields; a line with more than half of these
-levels variable isn't parsed on. In a leaf, a token at a later place is constant if lines of so many texts have it there, and a variable field
-if not. What a line's tokens then read is its template; it needs constants for half of its tokens at least, and three of them if a field was
-found variable by comparison only.
+lines of at least ``least`` different texts take it there, else it goes down the branch of variable fields; a line with more than a third of these
+levels variable isn't parsed on. In a leaf, the later tokens are compared in ``SEGMENTS`` runs (single tokens in lines short enough): a run is
+constant if lines of so many texts have it there, and a variable field if not. What a line then reads is its template;
+it needs constants for half of its tokens at least, and three of them if a field was found variable by comparison only.
 
 A template recurs if it stands in at least ``least`` different texts (equal texts count once, a document's own repetitions don't count)
 and in as many different surroundings, and no surrounding holds more than half of its texts: a line inside near-copies of one document
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from .shared import heavy_join, stage, unused
 
 LEAST_TEXTS = 10
-DEPTH = 3
+DEPTH, SEGMENTS = 5, 8
 #: Constant tokens without which a template has no variable fields but those with a digit or an at sign.
 LEAST_CONSTANTS = 3
+#: Leading tokens that tell a neighbour.
+AROUND = 3
 VARIABLE = "<*>"
 
 _WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -46,11 +48,12 @@ def _tokens(text: Column) -> Column:
 
 
 def _lined(docs: DataFrame, depth: int) -> DataFrame:
-    """Rows (text_key, place, n, leaf, tokens) of every line that isn't blank."""
+    """Rows (text_key, place, n, leaf, lead, tail) of every line that isn't blank: its first ``depth`` tokens and those after them."""
     text = F.col("text").cast("string")
     rows = docs.where("text is not null").select(F.xxhash64(text).alias("text_key"), F.posexplode(_tokens(text)).alias("place", "tokens"))
-    n = F.size("tokens")
-    return rows.where((n > 1) | (F.get("tokens", F.lit(0)) != "")).select("text_key", "place", n.alias("n"), F.xxhash64(n, F.slice("tokens", 1, depth)).alias("leaf"), "tokens")
+    n, lead, tail = F.size("tokens"), F.slice("tokens", 1, depth), F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(0)))
+    rows = rows.where((n > 1) | (F.get("tokens", F.lit(0)) != ""))
+    return rows.select("text_key", "place", n.alias("n"), F.xxhash64(n, F.slice("tokens", 1, AROUND)).alias("leaf"), lead.alias("lead"), tail.alias("tail"))
 
 
 def _in_texts(rows: DataFrame, key: str, least: int) -> DataFrame:
@@ -60,30 +63,35 @@ def _in_texts(rows: DataFrame, key: str, least: int) -> DataFrame:
 
 def templates(lines: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) -> DataFrame:
     """Rows (text_key, place, key): the template of each line that has one and shares it with at least ``least`` texts."""
-    at = lines.select("text_key", "place", "n", "tokens", F.xxhash64("n").alias("node"), F.lit(0).alias("wild"), F.lit(0).alias("found"))
+    at = lines.select("text_key", "place", "n", "lead", "tail", F.xxhash64("n").alias("node"), F.lit(0).alias("wild"), F.lit(0).alias("found"))
     for d in range(depth):
-        token = F.get("tokens", F.lit(d))
+        token = F.get("lead", F.lit(d))
         at = at.withColumn("branch", F.when((F.col("n") > d) & (token != VARIABLE), F.xxhash64("node", token)))
         common = stage(_in_texts(at.where("branch is not null"), "branch", least).withColumn("known", F.lit(True)), "branches")
         at = heavy_join(at, common, "branch", "left")
         variable = (F.col("n") > d) & F.col("known").isNull()
         node = F.when(F.col("n") <= d, F.col("node")).when(variable, F.xxhash64("node", F.lit(VARIABLE))).otherwise(F.col("branch"))
-        at = at.select("text_key", "place", "n", "tokens", node.alias("node"), (F.col("wild") + variable.cast("int")).alias("wild"), (F.col("found") + (variable & F.col("branch").isNotNull()).cast("int")).alias("found"))
-        at = at.where(F.col("wild") * 2 <= F.least("n", F.lit(depth)))
+        compared = (variable & F.col("branch").isNotNull()).cast("int")
+        at = at.select("text_key", "place", "n", "lead", "tail", node.alias("node"), (F.col("wild") + variable.cast("int")).alias("wild"), (F.col("found") + compared).alias("found"))
+        at = at.where(F.col("wild") * 3 <= F.least("n", F.lit(depth)))
     leaves = stage(_in_texts(at, "node", least), "leaves")
-    # equal texts have equal lines
-    live = stage(heavy_join(at, leaves, "node").dropDuplicates(["text_key", "place"]).select("text_key", "place", "n", "node", "wild", "found", "tokens"), "live")
     line = ["text_key", "place", "n", "node", "wild", "found"]
-    later = live.select(*line, F.posexplode(F.slice("tokens", depth + 1, F.greatest(F.col("n") - depth, F.lit(0)))).alias("i", "token"))
-    later = later.withColumn("cell", F.when(F.col("token") != VARIABLE, F.xxhash64("node", "i", "token")))
-    constant = stage(_in_texts(later.where("cell is not null"), "cell", least).withColumn("known", F.lit(True)), "constants")
-    read = heavy_join(later, constant, "cell", "left").withColumn("cell", F.when(F.col("known"), F.col("cell")))
-    missing = F.col("cell").isNull()
-    tails = read.groupBy(*line).agg(
-        F.sort_array(F.collect_list(F.struct("i", "cell"))).alias("cells"), F.sum(missing.cast("int")).alias("more"), F.sum((missing & (F.col("token") != VARIABLE)).cast("int")).alias("compared")
+    # equal texts have equal lines
+    live = stage(heavy_join(at, leaves, "node").select(*line, "tail").dropDuplicates(["text_key", "place"]), "live")
+    m = F.col("n") - depth
+    parts = F.least(m, F.lit(SEGMENTS))
+    edge = lambda j: F.floor(j * m / parts).cast("int")
+    each = live.where(m > 0).select(*line, "tail", m.alias("m"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"))
+    each = each.select(*line, "i", F.slice("tail", edge(F.col("i")) + 1, edge(F.col("i") + 1) - edge(F.col("i"))).alias("run"))
+    each = each.select(*line, "i", F.xxhash64("node", "i", "run").alias("cell"), F.size("run").alias("size"), F.size(F.filter("run", lambda t: t == VARIABLE)).alias("fields"))
+    constant = stage(_in_texts(each, "cell", least).withColumn("known", F.lit(True)), "constants")
+    known = F.col("known").isNotNull()
+    read = heavy_join(each, constant, "cell", "left").select(
+        *line, "i", F.when(known, F.col("cell")).alias("cell"), F.when(known, F.col("fields")).otherwise(F.col("size")).alias("more"), (~known & (F.col("fields") < F.col("size"))).cast("int").alias("compared")
     )
+    tails = read.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("i", "cell"))).alias("cells"), F.sum("more").alias("more"), F.sum("compared").alias("compared"))
     keyed = tails.select("text_key", "place", "n", F.xxhash64("node", F.col("cells.cell")).alias("key"), (F.col("wild") + F.col("more")).alias("wild"), (F.col("found") + F.col("compared")).alias("found"))
-    short = live.where(F.col("n") <= depth).select("text_key", "place", "n", F.col("node").alias("key"), "wild", "found")
+    short = live.where(m <= 0).select("text_key", "place", "n", F.col("node").alias("key"), "wild", "found")
     good = (F.col("wild") * 2 <= F.col("n")) & ((F.col("found") == 0) | (F.col("n") - F.col("wild") >= LEAST_CONSTANTS))
     found = stage(keyed.unionByName(short).where(good).select("text_key", "place", "key"), "templates")
     return heavy_join(found, _in_texts(found, "key", least), "key").select("text_key", "place", "key")

@@ -90,19 +90,22 @@ common{d} as (select branch from side{d} where branch is not null group by branc
 at{d + 1} as (select * from (
   select s.t, s.i, s.n, s.tokens, case when s.n <= {d} then s.node when c.branch is null then s.node || chr(1) || {v} else s.branch end as node,
     s.wild + (s.n > {d} and c.branch is null)::int as wild, s.found + (s.n > {d} and c.branch is null and s.branch is not null)::int as found
-  from side{d} s left join common{d} c on s.branch = c.branch) where wild * 2 <= least(n, {depth}))""")
+  from side{d} s left join common{d} c on s.branch = c.branch) where wild * 3 <= least(n, {depth}))""")
     parts.append(f"""live as (select * from at{depth} where node in (select node from at{depth} group by node having count(distinct t) >= {least})),
-later as (select t, i, n, node, wild, found, p, tokens[p] as token from (select *, unnest(generate_series({depth + 1}, n)) as p from live where n > {depth})),
-constants as (select node, p, token from later where token <> {v} group by all having count(distinct t) >= {least}),
+segments as (
+  select *, tokens[{depth + 1} + p * (n - {depth}) // least(n - {depth}, {line_dedup.SEGMENTS}):{depth} + (p + 1) * (n - {depth}) // least(n - {depth}, {line_dedup.SEGMENTS})] as run
+  from (select *, unnest(generate_series(0, least(n - {depth}, {line_dedup.SEGMENTS}) - 1)) as p from live where n > {depth})),
+later as (select *, array_to_string(run, chr(1)) as cell, len(run) as size, len(list_filter(run, lambda x: x = {v})) as fields from segments),
+constants as (select node, p, cell from later group by all having count(distinct t) >= {least}),
 tails as (
-  select l.t, l.i, l.n, l.node || chr(2) || string_agg(coalesce(c.token, {v}), chr(1) order by l.p) as key, any_value(l.wild) + sum((c.token is null)::int) as wild,
-    any_value(l.found) + sum((c.token is null and l.token <> {v})::int) as found
-  from later l left join constants c on l.node = c.node and l.p = c.p and l.token = c.token group by l.t, l.i, l.n, l.node),
+  select l.t, l.i, l.n, l.node || chr(2) || string_agg(coalesce(c.cell, chr(4)), chr(2) order by l.p) as key, any_value(l.wild) + sum(case when c.cell is null then l.size else l.fields end) as wild,
+    any_value(l.found) + sum((c.cell is null and l.fields < l.size)::int) as found
+  from later l left join constants c on l.node = c.node and l.p = c.p and l.cell = c.cell group by l.t, l.i, l.n, l.node),
 keyed as (
   select t, i, key from (select t, i, n, key, wild, found from tails union all select t, i, n, node, wild, found from live where n <= {depth})
   where wild * 2 <= n and (found = 0 or n - wild >= {line_dedup.LEAST_CONSTANTS})),
 placed0 as (
-  select l.t, l.i, len(l.tokens)::varchar || chr(1) || array_to_string(l.tokens[1:{depth}], chr(1)) as leaf, k.key
+  select l.t, l.i, len(l.tokens)::varchar || chr(1) || array_to_string(l.tokens[1:{line_dedup.AROUND}], chr(1)) as leaf, k.key
   from lines l left join (select * from keyed where key in (select key from keyed group by key having count(distinct t) >= {least})) k on l.t = k.t and l.i = k.i)""")
     for r in range(_ROUNDS):
         parts.append(f"""around{r} as (
