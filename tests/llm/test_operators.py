@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lexigauge.llm import byte_bpe, chat_format, decontaminate, html_extract, line_dedup, lm_scoring, near_dedup, quality_rules, sharding, suffix_dedup
+from lexigauge.llm import byte_bpe, chat_format, decontaminate, line_dedup, lm_scoring, near_dedup, quality_rules, sharding, suffix_dedup
 from lexigauge.llm.queries import tokenizer
 from lexigauge.llm.shared import components
 
@@ -196,19 +196,6 @@ def test_smallest_capacity_is_minimal():
         assert sharding.smallest_capacity(sums, k) == least(0, k)
 
 
-def test_html():
-    page = '<html><body><nav>menu</nav><div class="ad">buy</div><article><h1>Title</h1><p>One <b>bold</b>\n two &amp; three<p>Four<div class="comments">no</div></article><footer>end</footer>'
-    assert html_extract.main_text(page, None) == "Title One bold two & three Four"
-    assert html_extract.main_text(None, None) == "" and html_extract.main_text("a < b", None) == "a < b"
-
-
-def test_host_consensus(spark):
-    page = lambda i: f"<body><div class='x{i}'><p>{'story ' * 30}</p></div><div class='foot'>{'link ' * 5}</div></body>"
-    rows = [(i, "http://a.example/1", page(i)) for i in range(5)] + [(9, None, None)]
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i].startswith("story") for i in range(5)) and got[9] == ""
-
-
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "On Monday, x wrote:\n> how  are you?\nFine"), (1, 2, "user", "> > How are you?\n> Fine\n\nGood"), (1, 3, "user", "> nothing known\nhm"), (2, 0, None, None)]
     got = {(r["conv_id"], r["turn"]): r for r in chat_format.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
