@@ -276,7 +276,7 @@ def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group scores with bootstrap intervals over months; a few rows per group."""
-    counts = error_counts(spark, sf_dir).cache()
+    counts = error_counts(spark, sf_dir)  # the aggregate is one exchange, used again
     keys = ["seg_mode", "level", "model"]
     cis = bootstrap.intervals(counts, bootstrap.hashed(spark, 12, N_BOOT), keys, N_BOOT)
     rates = counts.groupBy(*keys).agg(F.round(F.sum("err") / F.sum("den"), 6).alias("cer"), F.sum("den").alias("ref_len"))

@@ -23,12 +23,12 @@ STABILITY = [
 def score(samples: DataFrame, predictions: DataFrame, pairs: dict[str, str], n_boot: int = bootstrap.N_BOOT, seg_modes: Sequence[str] = SEG_MODES, resamples: DataFrame | None = None) -> DataFrame:
     """Group scores with intervals, for ``samples (sample_id, ord, ref)`` and ``predictions (model, sample_id, text)``; ord counts from 0."""
     texts = scoring.with_predictions(samples.select("sample_id", "ord", "ref"), predictions).select("model", "ord", "ref", "text")
-    own = scoring.sample_ops(scoring.block_rows(texts, seg_modes, pairs)).cache()
+    own = scoring.sample_ops(scoring.block_rows(texts, seg_modes, pairs))
     k = samples.count()
     den = F.greatest(F.lit(1), F.when(F.col("fixed_len") > 0, F.col("fixed_len")).otherwise(F.col("ref_len")))
-    draws = resamples if resamples is not None else bootstrap.drawn(samples.sparkSession, k, n_boot)
     rated = own.select(*scoring.KEYS, "ord", F.col("dist").alias("err"), den.alias("den"))
-    return scoring.group_scores(own).join(bootstrap.intervals(rated, draws, scoring.KEYS, n_boot), scoring.KEYS).select(SCORES)
+    bounds = bootstrap.grouped_intervals(rated, k, scoring.KEYS, n_boot) if resamples is None else bootstrap.intervals(rated, resamples, scoring.KEYS, n_boot)
+    return scoring.group_scores(own).join(bounds, scoring.KEYS).select(SCORES)
 
 
 def run(
@@ -63,5 +63,6 @@ def run(
         "verdict_rule": {"margin_threshold": stability.MARGIN_THRESHOLD, "margin_formula": "gap / (span_a + span_b)", "ci_level": 0.95, "precedence": ["TIE", "FRAGILE", "STABLE"]},
         "overflow_samples": sum(r["overflow_samples"] for r in result["scores"]),
     }
+    scores.unpersist()
     write_json(result["meta"], f"{out_dir}/meta.json")
     return result

@@ -6,6 +6,8 @@ import math
 from html import escape
 from pathlib import Path
 
+from ..operators.stability import SLACK
+
 COLOURS = {1: "#2a7f62", 2: "#6fb08f", 3: "#cfe3c8", 4: "#f2d8a7", 5: "#e59a6f", 6: "#c8553d"}
 GREY = "#999999"
 
@@ -45,7 +47,7 @@ def rank_table(ranks: list[dict]) -> str:
 
 def tied_text(scores: list[dict], seg: str, level: str, most: int = 3) -> list[str]:
     own = sorted((r for r in scores if r["seg_mode"] == seg and r["level"] == level), key=lambda r: r["model"])
-    pairs = [f"{a['model']} / {b['model']}" for i, a in enumerate(own) for b in own[i + 1 :] if a["ci_lo"] <= b["ci_hi"] and b["ci_lo"] <= a["ci_hi"]]
+    pairs = [f"{a['model']} / {b['model']}" for i, a in enumerate(own) for b in own[i + 1 :] if a["ci_lo"] <= b["ci_hi"] + SLACK and b["ci_lo"] <= a["ci_hi"] + SLACK]
     return pairs[:most]
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,10 +51,27 @@ def test_micro_average_and_intervals(spark):
     assert (row["micro"], row["macro"]) == (0.01, 0.5)
     assert bootstrap.picks(2000) == (50, 1950) and bootstrap.picks(200) == (5, 195)
     one = spark.createDataFrame([("m", 0, 1, 2)], "model string, ord int, err long, den long")
-    ci = bootstrap.intervals(one, bootstrap.drawn(spark, 1, 10), ["model"], 10).first()
+    ci = bootstrap.grouped_intervals(one, 1, ["model"], 10).first()
     assert (ci["ci_lo"], ci["ci_hi"]) == (0.0, 0.0)
 
 
+def test_draws_in_tasks_are_those_of_a_table(spark, monkeypatch):
+    k, n_boot, rng = 30, 200, random.Random(bootstrap.SEED)
+    rows = [(m, i, (i * 7 + len(m)) % 5, 5 + i % 3) for m in ("a", "bb") for i in range(k)]
+    samples = spark.createDataFrame(rows, "model string, ord int, err long, den long")
+    for replicates in ([[rng.randrange(k) for _ in range(k)] for _ in range(n_boot)], None):
+        if replicates is None:  # counter-based draws
+            monkeypatch.setattr(bootstrap, "TWISTER_DRAWS", 0)
+            replicates = [x.tolist() for x in bootstrap.draws(k, n_boot)]
+            got = []
+        else:
+            got = sorted(map(tuple, bootstrap.grouped_intervals(samples, k, ["model"], n_boot).collect()))
+        table = spark.createDataFrame([(b, i, x.count(i)) for b, x in enumerate(replicates) for i in set(x)], "b int, ord int, mult int")
+        want = sorted(map(tuple, bootstrap.intervals(samples, table, ["model"], n_boot).collect()))
+        assert not got or got == want
+        assert all(0 < lo < hi < 1 for _, lo, hi in want)
+
+
 def test_one_model_has_no_neighbour(spark):
     scores = spark.createDataFrame([("para_merge", "P0", "m", 0.1, 0.1, 0.05, 0.2)], "seg_mode string, level string, model string, cer double, cer_fixed double, ci_lo double, ci_hi double")
     assert stability.stability(scores).first()["verdict"] == "N/A"
