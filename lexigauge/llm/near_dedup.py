@@ -1,7 +1,7 @@
 """Near-duplicate documents by SetSketch: mergeable register sketches, banded, estimated by likelihood, verified.
 
 A document's set holds its distinct 5-word shingles (ASCII lower case; with fewer words, the whole
-sequence). Equal sets form a class and only its smallest id goes on. Every register of a sketch is
+sequence). Equal sets form a class, numbered when it is staged, and only classes go on, so an id may have several texts. Every register of a sketch is
 an exponentially spaced truncated minimum: over the shingles the least of an exponential variate is
 taken, and its logarithm to base 1.001 is cut to whole steps; the sketch of a union is the register-wise
 maximum. Registers agree with about the Jaccard similarity, so bands of five registers meet for
@@ -16,19 +16,22 @@ confirmed on the full sets.
 
 Defined cases: null or empty text, or one of white space only, has an empty set, is linked with nothing and is
 kept; equal texts are linked; a repeated row (same id, same text) gets the same result again; extra columns
-of the input are ignored, whatever their names. An id names one text; a row without an id is kept.
+of the input are ignored, whatever their names; very long texts are taken whole; an id with several texts has a row and links for each (``keep_one``
+keeps all its rows if one is kept); a row without an id is kept; an empty table gives no rows. Components don't depend on the
+order in which equal candidates come.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, stage, unused
+from .shared import components, heavy_join, stage, unused
 from .wordhash import Words, chunks, mix, sequence_hash
 
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -99,8 +102,6 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from hashlib import blake2b
-
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
@@ -122,7 +123,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             sets = [x.tobytes() for x in shingle_sets(part.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            own = [blake2b(x, digest_size=16).digest() == k for x, k in zip(sets, part.column("set_key").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"]).filter(pa.array(own, pa.bool_()))
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,15 +174,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         "sketches",
     )
     full = base.where("n_shingles > 0")
-    classes = stage(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = base.join(classes, [base.doc_id == classes.rep, base.set_key == classes.set_key], "left_semi").dropDuplicates(["doc_id"])
-    reps = stage(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "bands"), "reps")
+    # numbers of classes are fixed once they are written
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"), F.first(F.struct("n_shingles", "sketch", "bands")).alias("s"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("rep"), "set_key", "first_id", "weight", "s.*"), "classes")
+    reps = classes.where("first_id is not null")
     spread = reps.select("rep", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = stage(spread.join(shared, "band"), "members")
-    wanted = members.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text"))
-    sets = stage(texts.join(wanted, "rep", "left_semi").mapInArrow(_sets, "rep bigint, shingles binary"), "sets")
+    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("first_id").alias("doc_id"), "rep", "set_key")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = stage(texts.join(wanted, "doc_id").select("rep", "set_key", "text").mapInArrow(_sets, "rep bigint, shingles binary"), "sets")
+    counts = sets.agg(F.count("*").alias("n"), F.count_distinct("rep").alias("d")).first()
+    if counts["n"] > counts["d"]:  # repeated rows
+        sets = stage(sets.dropDuplicates(["rep"]), "sets")
     sketches = reps.select("rep", "sketch", "n_shingles")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -221,8 +227,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     more = confirmed(rest.select(F.col("rep").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         closed = components(links.unionByName(more))
-    named = classes.join(closed.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = base.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    named = classes.select("rep", "set_key", "first_id", "weight").join(closed.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
+    least = named.groupBy("part").agg(F.min("first_id").alias("component_id"), F.count("*").alias("weight"))
+    named = stage(heavy_join(named.select("set_key", "part", F.col("weight").alias("copies")), least, "part").select("set_key", "component_id", F.col("copies").alias("weight")), "named")
+    out = heavy_join(base.select("doc_id", "n_shingles", "set_key"), named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

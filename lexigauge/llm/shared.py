@@ -77,7 +77,7 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of ``links (a, b)``: rows (id, component), component = smallest id reachable.
 
     Alternating large-star and small-star rounds; each round is two aggregations and joins on
-    node ids, so no component is ever gathered in one task. Rounds grow with the logarithm of
+    node ids, those of many links apart (``heavy_join``), so no component is ever gathered in one task. Rounds grow with the logarithm of
     the component's diameter; the edge table is staged after each. Self links and nulls are ignored.
     """
     edges = stage(
@@ -96,16 +96,15 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         if not seen[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("weight"))
         large = (
-            both.where(F.col("v") > F.col("u"))
-            .join(low, "u")
+            heavy_join(both.where(F.col("v") > F.col("u")), low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
+        small = heavy_join(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(
             small.unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct(), "edges"
         )

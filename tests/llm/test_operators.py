@@ -237,3 +237,12 @@ def test_nulls_repeated_rows_and_clashing_names(spark):
     for kept in (near_dedup.keep_one, lambda d: decontaminate.drop_contaminated(d, items), line_dedup.drop_recurring_lines, suffix_dedup.drop_passages):
         assert kept(docs.limit(0)).count() == 0
         assert set(docs.columns) <= set(kept(docs.limit(0)).columns)
+
+
+def test_an_id_with_two_texts_keeps_both_texts_links(spark):
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    a, b = words(80), words(80)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (3, " ".join([*b, "x"])), (4, " ".join([*a, "x"])), (4, " ".join([*a, "x"])), (9, "else")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (3, 1), (4, 1), (4, 1), (9, 9)]
