@@ -1,33 +1,35 @@
 """Benchmark decontamination with SimHash over item-sized windows, all in DataFrame operations.
 
-Fingerprints have 64 bits over the words of a window (ASCII lower case, ASCII punctuation off), each weighted by how
-often it stands there. A document is compared
-with an item through windows of the item's length. Every word shingle of a document that also stands in an item places all windows of
-that length that cover it, whatever its offset in the item, so an item with its sentences swapped is found. A similarity of ``percent``
-takes as many shared places in a window, so only windows that hold them are kept; no other window can match.
-Every matching window is a row, also those shifted by a few words. Fingerprints of windows and of items of that length
-meet in multi-index Hamming blocks: 64 bits are cut into radius + 1 blocks, and fingerprints within the radius agree in at
-least one of them, so all within it are found. Candidates are verified by the exact
-weighted Jaccard similarity of their 5-word shingles (of shorter items: of the whole sequence).
+Fingerprints have 64 bits over the words of a window (ASCII lower case, ASCII punctuation off), each weighted by how often it stands there. A
+document is compared with an item through windows of the item's length: every window of that length, wherever the item's words stand in it, that
+covers a word shingle of the item is fingerprinted (a window without one has the similarity 0). All windows of all lengths would be over a billion
+fingerprints on half a gigabyte, hence this placing; it asks for one shingle only and decides nothing.
 
-Whatever the radius passes, the exact similarity of at least ``percent`` decides.
+Fingerprints of windows and of items of that length meet in multi-index Hamming blocks: 64 bits are cut into ``BLOCKS`` blocks, two fingerprints within
+the radius differ in at most radius // BLOCKS bits of at least one block, and an item is listed under every value of a block with so few bits
+changed, so all pairs within the radius are found and few others meet. Candidates are verified by the exact weighted Jaccard similarity of
+their 5-word shingles (of shorter items: of the whole sequence), of which ``percent`` decides. Every matching window is a row, also those
+shifted by a few words.
 
-Only shingles shared with the benchmark survive the join, so what is shuffled grows with the contamination, not with the corpus. The item
-table is broadcast if its shingles are at most ``BROADCAST_ROWS``; beyond that both sides are shuffled.
+The corpus is read once for placing, for all shingle lengths; only what shares a shingle with the benchmark goes on, so what is shuffled grows with the
+contamination. The items' shingles are broadcast if they are at most ``BROADCAST_ROWS``; beyond that both sides are shuffled. An item takes 697 index
+rows a block at the radius of 15. Equal windows of many documents are fingerprinted, looked up and verified once.
 
 Defined cases: null or empty text matches nothing; null or empty items are left out; equal items each match; a repeated row gets the same
-result; empty tables match nothing; extra columns are ignored.
+result; empty tables match nothing; very long texts and items are taken whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import maybe_broadcast, stage, unused
 
 SHINGLE = 5
-RADIUS = 15
+RADIUS, BLOCKS = 15, 4
 BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Deleted from texts and items, so that marks glued to a passage's words don't hide it.
@@ -49,20 +51,32 @@ def _shingles(hashes: str, n: int) -> Column:
     return F.when(F.size(hashes) >= n, F.transform(starts, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(n)))))
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """Shift and width of each of radius + 1 blocks of 64 bits."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
+def _blocks(blocks: int = BLOCKS) -> list[tuple[int, int]]:
+    """Shift and width of each block of 64 bits."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def simhash(words: DataFrame, key: str) -> DataFrame:
-    """Rows (key, print): 64-bit SimHash of the bag of words of each key, from rows (key, h) of its words' hashes, summed bit by bit."""
-    bits = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
-    sums = words.groupBy(key).agg(F.count("*").alias("n"), *bits)
+def _changed(width: int, most: int) -> list[int]:
+    """All masks of so many bits or fewer within a block."""
+    return [sum(1 << b for b in bits) for n in range(most + 1) for bits in combinations(range(width), n)]
+
+
+def simhash(words: DataFrame, key: str, most_words: int) -> DataFrame:
+    """Rows (key, print): 64-bit SimHash of the bag of words of each key, from rows (key, h) of its words' hashes.
+
+    Bits are summed several to a number, in lanes wide enough for ``most_words``.
+    """
+    lane = 16 if most_words < 1 << 16 else 32
+    per = 64 // lane
+    bit = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))
+    packed = lambda g: sum((F.shiftleft(bit(g * per + k), k * lane) for k in range(1, per)), bit(g * per))
+    sums = words.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(packed(g)).alias(f"s{g}") for g in range(64 // per)))
     value = F.lit(0).cast("bigint")
     for b in range(64):
         one = F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), one).otherwise(F.lit(0).cast("bigint")))
+        count = F.shiftrightunsigned(f"s{b // per}", b % per * lane).bitwiseAND(F.lit((1 << lane) - 1).cast("bigint"))
+        value = value.bitwiseOR(F.when(count * 2 > F.col("n"), one).otherwise(F.lit(0).cast("bigint")))
     return sums.select(key, value.alias("print"))
 
 
@@ -79,24 +93,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radius: in
     items = stage(items.select("item_id", "words", F.size("words").alias("n")).where("n > 0"), "items")
     hashed = _hashed(items, ["item_id", "n"])
     sizes = sorted(r["s"] for r in items.select(F.least("n", F.lit(SHINGLE)).alias("s")).distinct().collect())  # SHINGLE values at most
-    found = None
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words_of(F.col("text")).alias("words")).where("doc_id is not null")
-    source = _hashed(texts, ["doc_id"])
-    for s in sizes:
-        mine = hashed.where(F.least("n", F.lit(SHINGLE)) == s).select("item_id", "n", F.explode(_shingles("hashes", s)).alias("shingle")).distinct()
-        mine = maybe_broadcast(mine, BROADCAST_ROWS)
-        spread = source.select("doc_id", F.size("hashes").alias("size"), F.posexplode(_shingles("hashes", s)).alias("place", "shingle"))
-        starts = F.sequence(F.col("place") + s - F.col("n"), "place")
-        shared = spread.join(mine, "shingle").select("doc_id", "size", "item_id", "n", F.explode(starts).alias("start")).groupBy("doc_id", "size", "item_id", "n", "start").agg(F.count("*").alias("held"))
-        # shingles of the item and of the window, which is cut at the text's ends; held is at least what they have in common
-        a, b = F.col("n") - s + 1, F.least(F.col("start") + F.col("n"), "size") - F.greatest("start", F.lit(0)) - s + 1
-        both = F.least("held", a, b)
-        placed = shared.where(both * 100 >= (a + b - both) * percent).select("doc_id", "start", "n")
-        found = placed if found is None else found.unionByName(placed)
-    if found is None:
+    if not sizes:
         empty = "doc_id bigint, item_id bigint, start_word int, n_words int, hamming int, similarity double"
         return docs.sparkSession.createDataFrame([], empty)
-    found = stage(found.distinct(), "windows")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words_of(F.col("text")).alias("words")).where("doc_id is not null")
+    source = _hashed(texts, ["doc_id"])
+    listed = F.concat(*(F.transform(F.coalesce(_shingles("hashes", s), F.array().cast("array<bigint>")), lambda h, i: F.struct(F.lit(s).alias("s"), i.alias("place"), h.alias("shingle"))) for s in sizes))  # noqa: B023
+    mine = [hashed.where(F.least("n", F.lit(SHINGLE)) == s).select("n", F.lit(s).alias("s"), F.explode(_shingles("hashes", s)).alias("shingle")) for s in sizes]
+    lengths = mine[0]
+    for more in mine[1:]:
+        lengths = lengths.unionByName(more)
+    # a window is placed once, whichever items of its length share its shingle
+    lengths = maybe_broadcast(stage(lengths.distinct(), "lengths"), BROADCAST_ROWS)
+    shared = source.select("doc_id", F.size("hashes").alias("size"), F.explode(listed).alias("x")).select("doc_id", "size", "x.*").join(lengths, ["s", "shingle"])
+    starts = F.sequence(F.col("place") + F.col("s") - F.col("n"), "place")
+    found = stage(shared.select("doc_id", "n", F.explode(starts).alias("start")).distinct(), "windows")
     hit = maybe_broadcast(found.select("doc_id").distinct(), BROADCAST_ROWS)
     held = source.join(hit, "doc_id", "left_semi").join(found, "doc_id")
     # windows at a text's ends are cut there
@@ -105,13 +116,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radius: in
     windows = stage(windows.select("doc_id", "start", "n", "hashes", F.concat_ws("-", F.xxhash64("n", "hashes"), F.xxhash64("hashes", "n")).alias("kind")), "held")
     # equal windows of many documents are looked at once
     kinds = stage(windows.groupBy("kind").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "kinds")
-    prints = simhash(kinds.select("kind", F.explode("hashes").alias("h")), "kind").join(kinds.select("kind", "n"), "kind")
-    item_prints = stage(simhash(hashed.select("item_id", F.explode("hashes").alias("h")), "item_id").join(items.select("item_id", "n"), "item_id"), "item_prints")
-    blocks = lambda rows: rows.select(
-        "*", F.posexplode(F.array(*(F.shiftrightunsigned("print", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in _blocks(radius)))).alias("block", "value")
-    )
-    left = blocks(prints)
-    right = blocks(item_prints).withColumnRenamed("print", "item_print")
+    most = items.agg(F.max("n")).first()[0]
+    prints = simhash(kinds.select("kind", F.explode("hashes").alias("h")), "kind", most).join(kinds.select("kind", "n"), "kind")
+    item_prints = stage(simhash(hashed.select("item_id", F.explode("hashes").alias("h")), "item_id", most).join(items.select("item_id", "n"), "item_id"), "item_prints")
+    value = lambda at, width: F.shiftrightunsigned("print", at).bitwiseAND(F.lit((1 << width) - 1))
+    left = prints.select("*", F.posexplode(F.array(*(value(*b) for b in _blocks()))).alias("block", "value"))
+    near = [F.transform(F.array(*(F.lit(m).cast("bigint") for m in _changed(b[1], radius // BLOCKS))), lambda m: value(*b).bitwiseXOR(m)) for b in _blocks()]  # noqa: B023
+    right = item_prints.select("*", F.posexplode(F.array(*near)).alias("block", "values")).select("item_id", "n", F.col("print").alias("item_print"), "block", F.explode("values").alias("value"))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     near = left.join(right, ["n", "block", "value"]).where(distance <= radius).select("kind", "item_id", distance.alias("hamming")).distinct()
     near = stage(near, "candidates")

@@ -12,11 +12,12 @@ Neighbours in two orders don't show every pair: where a passage is shared piecew
 one beside it, a few words at its edge can stay unmarked (162 of 782,218 words on 10,000 documents); none is marked that stands once only.
 
 The sort is by range over the words themselves and then the document, so a passage that a third of all documents share is split over
-many tasks; what lies on both sides of a range's edge is compared in a last step over two rows a range.
+many tasks; what lies on both sides of a range's edge is compared in a last step over two rows a range. Anchors that many suffixes have are joined
+apart from the others.
 
 Words are runs outside the ASCII white space, as written. Defined cases: null, empty and short texts have no passage; a passage repeated
 within one document counts as repeated; a repeated row with the same id counts as one document; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage, unused
+from .shared import heavy_join, stage, unused
 from .wordhash import Words, chunks, slices
 
 MIN_WORDS = 50
 ANCHOR = 8
+#: Suffixes that a task sorts, about.
+RANGE_ROWS = 500_000
 
 
 def minimisers(grams: np.ndarray, span: int) -> np.ndarray:
@@ -165,10 +168,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     anchors = stage(texts.mapInArrow(_anchors(min_words), "doc_id bigint, place bigint, anchor bigint"), "anchors")
     # summed before the shuffle; an anchor that stands twice in one document counts
-    seen = anchors.distinct().groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = anchors.join(seen, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    seen = stage(anchors.distinct().groupBy("anchor").agg(F.count("*").alias("weight")).where("weight > 1"), "seen")
+    wanted = heavy_join(anchors, seen, "anchor").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     suffixes = stage(texts.join(wanted, "doc_id").mapInArrow(_contexts(min_words), "doc_id bigint, place bigint, before binary, after binary"), "suffixes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // RANGE_ROWS + 1)
     marks = None
     for order in (["after", "before"], ["before", "after"]):
         keys = [*order, "doc_id", "place"]
