@@ -2,14 +2,14 @@
 
 The models, one for quality and one for toxicity, are trained on labelled rows: hashed word unigrams and bigrams
 (runs of letters, digits and non-ASCII characters, ASCII lower case) and character trigrams, as they are present in a text or not.
-Of these, the n-grams stay whose presence goes with the label far beyond chance (G-test); their weights come from
+Of these, the n-grams stay whose presence goes with the label far beyond chance (G-test; no other bound); their weights come from
 ridge-penalised logistic regression, and Platt scaling of cross-fitted scores makes probabilities of them. Texts are scored
 in Arrow batches against fixed thresholds.
 
 Training reads at most ``max_labelled`` labelled documents (in the order of a hash of the id), a documented bound; everything else
-covers whole tables and whole texts.
+covers whole tables and whole texts. The fit runs in one task on an executor, in memory that grows with the sample.
 
-Defined cases: null or empty text has no words and so fails the base rules; labels that are null are left out, and of
+Defined cases: null or empty text has no words and so fails the base rules; very long texts are taken whole; a label that is null is left out of its model, and of
 several labels for a document the lowest quality and highest toxicity count; without labelled rows, or with one class
 only, a model gives one probability to all (the class rate) and rejects nothing; repeated rows get the same result; extra columns
 are ignored.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .wordhash import SEPARATOR, Words, chunks, mix, slices
 
 MAX_LABELLED = 4000
-#: An n-gram counts if its G statistic reaches this (chance: under one in ten million) and it is in so many texts.
-LEAST_G, LEAST_TEXTS, MOST_FEATURES = 30.0, 5, 2048
+#: Significance of an n-gram: its G statistic must reach this (chance: under one in ten million). Nothing else bounds the n-grams.
+LEAST_G = 30.0
 #: Toxic words are rare: for toxicity a lower G counts (chance: under one in a hundred thousand).
 TOXIC_LEAST_G = 20.0
 #: Chosen on held-out folds of sf0.1, figures in the README.
@@ -119,7 +119,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.offset, -60, 60)))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Ridge-penalised logistic regression by accelerated gradient steps; the bias isn't penalised."""
     full = np.concatenate((x, np.ones((len(x), 1), np.float32)), axis=1)
     v = np.ones(full.shape[1], np.float32)
@@ -132,7 +132,9 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300)
     for k in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(full @ ahead, -60, 60)))
         new = ahead - rate * (full.T @ (p - y) + penalty * ahead)
-        ahead, w = new + (k / (k + 3)) * (new - w), new
+        step, ahead, w = float(np.abs(new - w).max()), new + (k / (k + 3)) * (new - w), new
+        if step < 1e-4:
+            break
     return w[:-1].astype(float), float(w[-1])
 
 
@@ -157,15 +159,11 @@ def _select(present: list[np.ndarray], y: np.ndarray, least_g: float = LEAST_G)
     hashes = np.union1d(h1, h0)
     a, b = np.zeros(len(hashes)), np.zeros(len(hashes))
     a[np.searchsorted(hashes, h1)], b[np.searchsorted(hashes, h0)] = c1, c0
-    many = a + b >= LEAST_TEXTS
-    hashes, a, b = hashes[many], a[many], b[many]
     n1, n0 = float((y > 0).sum()), float((y == 0).sum())
     rate = (a + b) / (n1 + n0)
     part = lambda seen, want: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(want, 1e-9)), 0)
     g = 2 * (part(a, n1 * rate) + part(n1 - a, n1 * (1 - rate)) + part(b, n0 * rate) + part(n0 - b, n0 * (1 - rate)))
-    best = np.flatnonzero(g >= least_g)
-    best = best[np.lexsort((hashes[best], -g[best]))][:MOST_FEATURES]
-    return np.sort(hashes[best])
+    return hashes[g >= least_g]
 
 
 def fit(present: list[np.ndarray], y: np.ndarray, folds: int = 5, least_g: float = LEAST_G) -> Model:
@@ -180,7 +178,7 @@ def fit(present: list[np.ndarray], y: np.ndarray, folds: int = 5, least_g: float
             return None
         hashes = _select([present[i] for i in rows], y[rows], least_g)
         x = matrix(rows, hashes)
-        w, bias = _newton(x, y[rows].astype(np.float32))
+        w, bias = _logistic(x, y[rows].astype(np.float32))
         return hashes, w, bias
 
     def matrix(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -202,12 +200,12 @@ def fit(present: list[np.ndarray], y: np.ndarray, folds: int = 5, least_g: float
     return Model(hashes, w, bias, slope, offset, True)
 
 
-def labelled_grams(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes, quality and toxicity of at most so many labelled documents."""
+def labelled_grams(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Rows (id, quality, toxic, grams) of at most so many labelled documents: distinct n-gram hashes of whole texts."""
     chosen = (
-        labels.where("doc_id is not null and quality is not null")
+        labels.where("doc_id is not null and (quality is not null or toxic is not null)")
         .groupBy(F.col("doc_id").cast("bigint").alias("id"))
-        .agg(F.min("quality").cast("int").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).cast("int").alias("toxic"))
+        .agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("id"), "id")
         .limit(max_labelled)
     )
@@ -223,15 +221,28 @@ def labelled_grams(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 
     # the sample has at most max_labelled rows of three numbers
     joined = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    rows = joined.mapInArrow(run, "id bigint, quality int, toxic int, grams binary").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["grams"])))
-    return [np.frombuffer(r["grams"], np.uint64) for r in rows], np.array([r["quality"] > 0 for r in rows], float), np.array([r["toxic"] > 0 for r in rows], float)
+    return joined.mapInArrow(run, "id bigint, quality int, toxic int, grams binary")
+
+
+def _fitted(group: pa.Table) -> pa.Table:
+    """Both models of the labelled rows, as rows; the sample's bound holds for this task."""
+    rows = sorted(zip(*(group.column(c).to_pylist() for c in ("id", "grams", "quality", "toxic")), strict=True), key=lambda r: r[:2])
+    out = []
+    for label, least_g in ((2, LEAST_G), (3, TOXIC_LEAST_G)):
+        mine = [r for r in rows if r[label] is not None]
+        model = fit([np.frombuffer(r[1], np.uint64) for r in mine], np.array([r[label] > 0 for r in mine], float), least_g=least_g)
+        out.append((label, model.hashes.tobytes(), model.weights.astype(np.float64).tobytes(), model.bias, model.slope, model.offset, model.rejects))
+    return pa.table(dict(zip(("label", "hashes", "weights", "bias", "slope", "shift", "rejects"), zip(*out, strict=True), strict=True)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Model, Model]:
-    """Models of quality and of toxicity."""
-    present, quality, toxic = labelled_grams(docs, labels, max_labelled)
-    return fit(present, quality), fit(present, toxic, least_g=TOXIC_LEAST_G)
+    """Models of quality and of toxicity, fitted in one task on the bounded sample; only their weights come to the driver."""
+    schema = "label bigint, hashes binary, weights binary, bias double, slope double, shift double, rejects boolean"
+    rows = labelled_grams(docs, labels, max_labelled).groupBy(F.lit(0).alias("all")).applyInArrow(_fitted, schema).orderBy("label").collect()
+    if not rows:
+        return fit([], np.empty(0)), fit([], np.empty(0))
+    quality, toxic = (Model(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["weights"]), r["bias"], r["slope"], r["shift"], r["rejects"]) for r in rows)
+    return quality, toxic
 
 
 _COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
