@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
 All but the last return the columns of documents.
+
+Defined cases of every stage: an empty table gives an empty one; extra columns are kept, whatever their names, up to the last stage; a repeated row is
+judged like its like, so all its copies stay or go (in near-dedup too: rows of the id that is kept); very long texts are taken whole. A null or
+empty text has no words and goes with the quality rules; in the other stages it stays as it is. A row without an id is judged by its text.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: Trained models, sketches and BPE aren't expressible in SQL; tests hold run() against a brute-force version.
+#: Trained models, sketches and BPE aren't expressible in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
