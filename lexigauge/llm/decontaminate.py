@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast, stage, unused
+from .shared import maybe_broadcast, release, stage, unused
 
 SHINGLE = 5
 RADIUS, BLOCKS = 15, 4
@@ -80,11 +80,16 @@ def simhash(words: DataFrame, key: str, most_words: int) -> DataFrame:
     return sums.select(key, value.alias("print"))
 
 
-def _counted(rows: DataFrame, key: str) -> DataFrame:
-    """Weighted shingles (key, shingle, weight) of rows (key, hashes); a short sequence is one shingle."""
-    whole = F.array(F.xxhash64("hashes"))
-    each = F.coalesce(_shingles("hashes", SHINGLE), whole)
-    return rows.select(key, F.explode(each).alias("shingle")).groupBy(key, "shingle").agg(F.count("*").alias("weight"))
+def _similarity(x: str, y: str) -> tuple[Column, Column]:
+    """Weighted shingles that two word sequences share, and those that either has; sequences under the shingle's length are one shingle."""
+    each = lambda c: F.coalesce(_shingles(c, SHINGLE), F.array(F.xxhash64(c)))
+    a, b = each(x), each(y)
+    shared = F.array_intersect(a, b)
+    count = lambda seq, h: F.size(F.filter(seq, lambda g: g == h))
+    repeats = (F.size(F.array_distinct(a)) < F.size(a)) & (F.size(F.array_distinct(b)) < F.size(b))
+    weighted = F.aggregate(shared, F.lit(0), lambda total, h: total + F.least(count(a, h), count(b, h)))
+    both = F.when(repeats, weighted).otherwise(F.size(shared))
+    return both, F.size(a) + F.size(b) - both
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radius: int = RADIUS) -> DataFrame:
@@ -113,9 +118,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radius: in
     # windows at a text's ends are cut there
     first, end = F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("n"), F.size("hashes"))
     windows = held.select("doc_id", "start", "n", F.slice("hashes", first + 1, F.greatest(end - first, F.lit(0))).alias("hashes"))
-    windows = stage(windows.select("doc_id", "start", "n", "hashes", F.concat_ws("-", F.xxhash64("n", "hashes"), F.xxhash64("hashes", "n")).alias("kind")), "held")
-    # equal windows of many documents are looked at once
-    kinds = stage(windows.groupBy("kind").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "kinds")
+    windows = stage(windows.select("doc_id", "start", "n", "hashes", F.xxhash64("n", "hashes").alias("k1"), F.xxhash64("hashes", "n").alias("k2")), "held")
+    release(found)
+    # equal windows of many documents are looked at once; their numbers are fixed once they are written
+    kinds = stage(windows.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    placed = stage(windows.select("doc_id", F.greatest("start", F.lit(0)).alias("start_word"), F.size("hashes").alias("n_words"), "k1", "k2").distinct(), "placed")
+    release(windows)
     most = items.agg(F.max("n")).first()[0]
     prints = simhash(kinds.select("kind", F.explode("hashes").alias("h")), "kind", most).join(kinds.select("kind", "n"), "kind")
     item_prints = stage(simhash(hashed.select("item_id", F.explode("hashes").alias("h")), "item_id", most).join(items.select("item_id", "n"), "item_id"), "item_prints")
@@ -124,19 +132,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radius: in
     near = [F.transform(F.array(*(F.lit(m).cast("bigint") for m in _changed(b[1], radius // BLOCKS))), lambda m: value(*b).bitwiseXOR(m)) for b in _blocks()]  # noqa: B023
     right = item_prints.select("*", F.posexplode(F.array(*near)).alias("block", "values")).select("item_id", "n", F.col("print").alias("item_print"), "block", F.explode("values").alias("value"))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = left.join(right, ["n", "block", "value"]).where(distance <= radius).select("kind", "item_id", distance.alias("hamming")).distinct()
-    near = stage(near, "candidates")
-    of_kind = _counted(kinds, "kind").join(near.select("kind").distinct(), "kind", "left_semi")
-    of_item = stage(_counted(hashed, "item_id"), "of_item")
-    size = lambda rows, key, name: rows.groupBy(key).agg(F.sum("weight").alias(name))
-    both = (
-        near.join(of_kind, "kind").withColumnRenamed("weight", "weight_k").join(maybe_broadcast(of_item, BROADCAST_ROWS), ["item_id", "shingle"])
-        .groupBy("kind", "item_id").agg(F.first("hamming").alias("hamming"), F.sum(F.least("weight", "weight_k")).alias("both"))
-    )
-    sized = both.join(size(of_kind, "kind", "a"), "kind").join(size(of_item, "item_id", "b"), "item_id").withColumn("either", F.col("a") + F.col("b") - F.col("both"))
-    good = sized.where(F.col("both") * 100 >= F.col("either") * percent).select("kind", "item_id", "hamming", (F.col("both") / F.col("either")).alias("similarity"))
-    placed = windows.select("doc_id", F.greatest("start", F.lit(0)).alias("start_word"), F.size("hashes").alias("n_words"), "kind").distinct()
-    return placed.join(good, "kind").select("doc_id", "item_id", "start_word", "n_words", "hamming", "similarity")
+    # the list of values grows with the benchmark: never broadcast
+    near = left.join(right.hint("merge"), ["n", "block", "value"]).where(distance <= radius).select("kind", "item_id", distance.alias("hamming")).distinct()
+    pairs = near.join(kinds.select("kind", "k1", "k2", "hashes"), "kind").join(maybe_broadcast(hashed.select("item_id", F.col("hashes").alias("item_hashes")), BROADCAST_ROWS), "item_id")
+    both, either = _similarity("hashes", "item_hashes")
+    held = pairs.select("k1", "k2", "item_id", "hamming", both.alias("both"), either.alias("either"))
+    good = held.where(F.col("both") * 100 >= F.col("either") * percent).select("k1", "k2", "item_id", "hamming", (F.col("both") / F.col("either")).alias("similarity"))
+    good = stage(good, "good")
+    release(kinds, item_prints)
+    return placed.join(good, ["k1", "k2"]).select("doc_id", "item_id", "start_word", "n_words", "hamming", "similarity")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, radius: int = RADIUS) -> DataFrame:

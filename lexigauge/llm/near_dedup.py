@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, heavy_join, stage, unused
+from .shared import components, heavy_join, release, stage, unused
 from .wordhash import Words, chunks, mix, sequence_hash
 
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -167,16 +167,18 @@ def _verified(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) for every row of ``docs (doc_id, text)``."""
-    base = stage(
+    sketched = stage(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
             _sketched, "doc_id bigint, n_shingles bigint, set_key binary, sketch binary, bands array<bigint>"
         ),
         "sketches",
     )
-    full = base.where("n_shingles > 0")
+    full = sketched.where("n_shingles > 0")
     # numbers of classes are fixed once they are written
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("weight"), F.first(F.struct("n_shingles", "sketch", "bands")).alias("s"))
     classes = stage(classes.select(F.monotonically_increasing_id().alias("rep"), "set_key", "first_id", "weight", "s.*"), "classes")
+    base = stage(sketched.select("doc_id", "n_shingles", "set_key"), "base")
+    release(sketched)
     reps = classes.where("first_id is not null")
     spread = reps.select("rep", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
@@ -197,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
             .mapInArrow(_plausible(percent / 100 - MARGIN), "a bigint, b bigint")
         )
-        near = stage(near, "near")
+        near = stage(near, "near")  # sketches first: most pairs go before sets are read
         held = near.join(side(sets, {"rep": "a", "shingles": "set_a"}), "a").join(side(sets, {"rep": "b", "shingles": "set_b"}), "b")
         return stage(held.mapInArrow(_verified(percent), "a bigint, b bigint"), "links")
 
@@ -230,6 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = classes.select("rep", "set_key", "first_id", "weight").join(closed.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
     least = named.groupBy("part").agg(F.min("first_id").alias("component_id"), F.count("*").alias("weight"))
     named = stage(heavy_join(named.select("set_key", "part", F.col("weight").alias("copies")), least, "part").select("set_key", "component_id", F.col("copies").alias("weight")), "named")
+    release(classes, members, sets, pairs, left, rows)
     out = heavy_join(base.select("doc_id", "n_shingles", "set_key"), named, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -28,8 +28,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing reads any more, all that was made of them being written."""
+    for df in staged:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where.getParent(), True)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -105,9 +114,8 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
         small = heavy_join(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(
-            small.unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct(), "edges"
-        )
+        before, edges = edges, stage(small.unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct(), "edges")
+        release(before)
         now = mark(edges)
         if now == seen:
             break
@@ -116,4 +124,6 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return stage(stars.unionByName(roots.join(stars.select("id"), "id", "left_anti")), "components")
+    out = stage(stars.unionByName(roots.join(stars.select("id"), "id", "left_anti")), "components")
+    release(edges)
+    return out
