@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import heavy_join, stage, unused
+from .shared import heavy_join, release, stage, unused
 
 LEAST_TEXTS = 10
 DEPTH, SEGMENTS = 5, 8
@@ -94,13 +94,16 @@ def templates(lines: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) ->
     short = live.where(m <= 0).select("text_key", "place", "n", F.col("node").alias("key"), "wild", "found")
     good = (F.col("wild") * 2 <= F.col("n")) & ((F.col("found") == 0) | (F.col("n") - F.col("wild") >= LEAST_CONSTANTS))
     found = stage(keyed.unionByName(short).where(good).select("text_key", "place", "key"), "templates")
-    return heavy_join(found, _in_texts(found, "key", least), "key").select("text_key", "place", "key")
+    out = stage(heavy_join(found, _in_texts(found, "key", least), "key").select("text_key", "place", "key"), "shared")
+    release(live, leaves, constant, found)
+    return out
 
 
 def recurring(lines: DataFrame, found: DataFrame, least: int = LEAST_TEXTS) -> DataFrame:
     """Templates (key, weight) of ``templates`` that recur, weight being their lines; rounds go on as long as they find more."""
     rows = lines.select("text_key", "place", "leaf").distinct().join(found, ["text_key", "place"], "left")
-    rows, hot = stage(rows, "placed"), None
+    placed, hot = stage(rows, "placed"), None
+    rows = placed
     inside = Window.partitionBy("text_key").orderBy("place")
     while True:
         near = lambda f: F.coalesce(f("leaf").over(inside), F.lit(0))
@@ -111,20 +114,22 @@ def recurring(lines: DataFrame, found: DataFrame, least: int = LEAST_TEXTS) -> D
         sums = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("texts").alias("texts"), F.max("texts").alias("most"), F.sum("lines").alias("weight"))
         new = stage(sums.where((F.col("n") >= least) & (F.col("most") * 2 <= F.col("texts"))).select("key", "weight"), "recurring")
         if new.isEmpty():
+            release(placed)
             return new if hot is None else hot
         hot = new if hot is None else stage(hot.unionByName(new), "recurring")
-        rows = stage(heavy_join(rows, new.withColumn("gone", F.lit(True)), "key", "left").where("gone is null").select("text_key", "place", "leaf", "key"), "placed")
+        rows = heavy_join(placed, hot.withColumn("gone", F.lit(True)), "key", "left").where("gone is null").select("text_key", "place", "leaf", "key")
 
 
 def drop_recurring_lines(docs: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) -> DataFrame:
     """``docs`` with the lines of recurring templates out of ``text``, plus ``n_lines`` and ``n_dropped``."""
     _key, _out = (unused(docs, c) for c in ("_key", "_out"))
     lines = stage(_lined(docs, depth), "lines")
-    found = stage(templates(lines, least, depth), "found")
+    found = templates(lines, least, depth)
     out = heavy_join(found, recurring(lines, found, least), "key").groupBy("text_key").agg(F.collect_set("place").alias(_out))
     text = F.col("text").cast("string")
     copies = docs.where("text is not null").groupBy(F.xxhash64(text).alias("text_key")).agg(F.count("*").alias("weight"))
     out = stage(out.join(copies, "text_key").select(F.col("text_key").alias(_key), _out, "weight"), "out")
+    release(lines, found)
     rows = docs.withColumn(_key, F.xxhash64(text))
     joined = heavy_join(rows, out.select(_key, _out, F.col("weight").alias(unused(docs, "_weight"))), _key, "left", unused(docs, "_weight"))
     lines = F.split(text, "\n", -1)
