@@ -119,23 +119,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.offset, -60, 60)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression by accelerated gradient steps; the bias isn't penalised."""
-    full = np.concatenate((x, np.ones((len(x), 1), np.float32)), axis=1)
-    v = np.ones(full.shape[1], np.float32)
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> np.ndarray:
+    """Ridge-penalised logistic regression by accelerated gradient steps; the last column is the bias, which isn't penalised."""
+    v = np.ones(x.shape[1], np.float32)
     for _ in range(15):
-        v = full.T @ (full @ (v / np.linalg.norm(v)))
-    rate = 1 / (0.25 * np.linalg.norm(v) + ridge)
-    penalty = np.full(full.shape[1], ridge, np.float32)
+        v = x.T @ (x @ (v / np.linalg.norm(v)))
+    rate = np.float32(1 / (0.25 * np.linalg.norm(v) + ridge))
+    penalty = np.full(x.shape[1], ridge, np.float32)
     penalty[-1] = 0
-    w = ahead = np.zeros(full.shape[1], np.float32)
+    w = ahead = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(full @ ahead, -60, 60)))
-        new = ahead - rate * (full.T @ (p - y) + penalty * ahead)
-        step, ahead, w = float(np.abs(new - w).max()), new + (k / (k + 3)) * (new - w), new
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -60, 60)))
+        new = ahead - rate * (x.T @ (p - y) + penalty * ahead)
+        step, ahead, w = float(np.abs(new - w).max()), new + np.float32(k / (k + 3)) * (new - w), new
         if step < 1e-4:
             break
-    return w[:-1].astype(float), float(w[-1])
+    return w.astype(float)
 
 
 def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -152,52 +151,70 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
-def _select(present: list[np.ndarray], y: np.ndarray, least_g: float = LEAST_G) -> np.ndarray:
-    """Hashes of the n-grams that go with y, by the G statistic of their presence."""
-    split = lambda which: np.unique(np.concatenate([present[i] for i in np.flatnonzero(which)]), return_counts=True)
-    (h1, c1), (h0, c0) = split(y > 0), split(y == 0)
-    hashes = np.union1d(h1, h0)
-    a, b = np.zeros(len(hashes)), np.zeros(len(hashes))
-    a[np.searchsorted(hashes, h1)], b[np.searchsorted(hashes, h0)] = c1, c0
-    n1, n0 = float((y > 0).sum()), float((y == 0).sum())
-    rate = (a + b) / (n1 + n0)
-    part = lambda seen, want: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(want, 1e-9)), 0)
-    g = 2 * (part(a, n1 * rate) + part(n1 - a, n1 * (1 - rate)) + part(b, n0 * rate) + part(n0 - b, n0 * (1 - rate)))
-    return hashes[g >= least_g]
-
-
-def fit(present: list[np.ndarray], y: np.ndarray, folds: int = 5, least_g: float = LEAST_G) -> Model:
-    """A calibrated model of y from the distinct n-gram hashes present in each text."""
-    y = np.asarray(y, float)
-    if not len(y) or y.min() == y.max():
-        rate = float(y.mean()) if len(y) else 0.5
+class Sample:
+    """N-grams of labelled texts that stand in two texts or more (no other can be significant), as numbers into ``hashes``, and the text of each.
+
+    Made from the concatenated distinct hashes of the texts and how many each has.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        ranked = np.sort(grams)
+        again = ranked[1:] == ranked[:-1]
+        self.hashes = np.unique(ranked[1:][again])
+        ids, owners = [], []
+        ends = np.cumsum(counts)
+        for at in range(0, len(grams), 1 << 18):  # few numbers at a time
+            part = grams[at : at + (1 << 18)]
+            place = np.searchsorted(self.hashes, part)
+            known = np.flatnonzero((place < len(self.hashes)) & (self.hashes[np.minimum(place, max(len(self.hashes) - 1, 0))] == part)) if len(self.hashes) else np.empty(0, np.int64)
+            ids.append(place[known].astype(np.int32))
+            owners.append(np.searchsorted(ends, at + known, side="right").astype(np.int32))
+        self.ids, self.owner, self.n = np.concatenate([np.empty(0, np.int32), *ids]), np.concatenate([np.empty(0, np.int32), *owners]), len(counts)
+
+    def significant(self, y: np.ndarray, rows: np.ndarray, least_g: float) -> np.ndarray:
+        """Numbers of the n-grams that go with y in the chosen rows, by the G statistic of their presence."""
+        a, b = (np.bincount(self.ids[(rows & (y == side))[self.owner]], minlength=len(self.hashes)).astype(float) for side in (1, 0))
+        n1, n0 = float((rows & (y == 1)).sum()), float((rows & (y == 0)).sum())
+        rate = (a + b) / (n1 + n0)
+        part = lambda seen, want: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(want, 1e-9)), 0)
+        g = 2 * (part(a, n1 * rate) + part(n1 - a, n1 * (1 - rate)) + part(b, n0 * rate) + part(n0 - b, n0 * (1 - rate)))
+        return np.flatnonzero(g >= least_g)
+
+    def matrix(self, rows: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """Presence of the features in the chosen rows, and a column of ones."""
+        column = np.full(len(self.hashes), -1, np.int32)
+        column[features] = np.arange(len(features))
+        x = np.zeros((int(rows.sum()), len(features) + 1), np.float32)
+        x[:, -1] = 1
+        hit = np.flatnonzero((column[self.ids] >= 0) & rows[self.owner])
+        x[(np.cumsum(rows) - 1)[self.owner[hit]], column[self.ids[hit]]] = 1
+        return x
+
+
+def fit(sample: Sample, y: np.ndarray, labelled: np.ndarray, folds: int = 5, least_g: float = LEAST_G) -> Model:
+    """A calibrated model of y from the labelled rows of a sample."""
+    own = y[labelled]
+    if not len(own) or own.min() == own.max():
+        rate = float(own.mean()) if len(own) else 0.5
         return Model(np.empty(0, np.uint64), np.empty(0), 0.0, 1.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), False)
 
     def trained(rows: np.ndarray):
-        if not 0 < y[rows].sum() < len(rows):
+        if not 0 < y[rows].sum() < rows.sum():
             return None
-        hashes = _select([present[i] for i in rows], y[rows], least_g)
-        x = matrix(rows, hashes)
-        w, bias = _logistic(x, y[rows].astype(np.float32))
-        return hashes, w, bias
-
-    def matrix(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(rows), len(hashes)), np.float32)
-        for k, i in enumerate(rows):
-            x[k, np.flatnonzero(np.isin(hashes, present[i], assume_unique=True))] = 1
-        return x
+        features = sample.significant(y, rows, least_g)
+        return features, _logistic(sample.matrix(rows, features), y[rows].astype(np.float32))
 
-    every = np.arange(len(y))
-    scores, rows = [], []
+    fold = np.cumsum(labelled) % folds
+    scores, targets = [], []
     for k in range(folds):
-        got = trained(every[every % folds != k])
-        if got:
-            held = every[every % folds == k]
-            scores.append(matrix(held, got[0]) @ got[1] + got[2])
-            rows.append(held)
-    hashes, w, bias = trained(every)
-    slope, offset = _platt(np.concatenate(scores), y[np.concatenate(rows)]) if scores else (1.0, 0.0)
-    return Model(hashes, w, bias, slope, offset, True)
+        got = trained(labelled & (fold != k))
+        held = labelled & (fold == k)
+        if got and held.any():
+            scores.append(sample.matrix(held, got[0]) @ got[1])
+            targets.append(y[held])
+    features, w = trained(labelled)
+    slope, offset = _platt(np.concatenate(scores), np.concatenate(targets)) if scores else (1.0, 0.0)
+    return Model(sample.hashes[features], w[:-1], float(w[-1]), slope, offset, True)
 
 
 def labelled_grams(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -226,21 +243,26 @@ def labelled_grams(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
 
 def _fitted(group: pa.Table) -> pa.Table:
     """Both models of the labelled rows, as rows; the sample's bound holds for this task."""
-    rows = sorted(zip(*(group.column(c).to_pylist() for c in ("id", "grams", "quality", "toxic")), strict=True), key=lambda r: r[:2])
+    group = group.sort_by([("id", "ascending"), ("grams", "ascending")])
+    grams = pa.concat_arrays(group.column("grams").chunks)
+    edges = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1]
+    data = np.frombuffer(grams.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]].view(np.uint64)
+    sample = Sample(data, np.diff(edges) // 8)
     out = []
-    for label, least_g in ((2, LEAST_G), (3, TOXIC_LEAST_G)):
-        mine = [r for r in rows if r[label] is not None]
-        model = fit([np.frombuffer(r[1], np.uint64) for r in mine], np.array([r[label] > 0 for r in mine], float), least_g=least_g)
-        out.append((label, model.hashes.tobytes(), model.weights.astype(np.float64).tobytes(), model.bias, model.slope, model.offset, model.rejects))
+    for name, least_g in (("quality", LEAST_G), ("toxic", TOXIC_LEAST_G)):
+        value = np.array([-1 if v is None else int(v > 0) for v in group.column(name).to_pylist()])
+        model = fit(sample, value, value >= 0, least_g=least_g)
+        out.append((name, model.hashes.tobytes(), model.weights.astype(np.float64).tobytes(), model.bias, model.slope, model.offset, model.rejects))
     return pa.table(dict(zip(("label", "hashes", "weights", "bias", "slope", "shift", "rejects"), zip(*out, strict=True), strict=True)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Model, Model]:
     """Models of quality and of toxicity, fitted in one task on the bounded sample; only their weights come to the driver."""
-    schema = "label bigint, hashes binary, weights binary, bias double, slope double, shift double, rejects boolean"
+    schema = "label string, hashes binary, weights binary, bias double, slope double, shift double, rejects boolean"
     rows = labelled_grams(docs, labels, max_labelled).groupBy(F.lit(0).alias("all")).applyInArrow(_fitted, schema).orderBy("label").collect()
     if not rows:
-        return fit([], np.empty(0)), fit([], np.empty(0))
+        none = Sample(np.empty(0, np.uint64), np.empty(0, np.int64))
+        return fit(none, np.empty(0), np.empty(0, bool)), fit(none, np.empty(0), np.empty(0, bool))
     quality, toxic = (Model(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["weights"]), r["bias"], r["slope"], r["shift"], r["rejects"]) for r in rows)
     return quality, toxic
 
