@@ -259,11 +259,11 @@ def _fitted(group: pa.Table) -> pa.Table:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Model, Model]:
     """Models of quality and of toxicity, fitted in one task on the bounded sample; only their weights come to the driver."""
     schema = "label string, hashes binary, weights binary, bias double, slope double, shift double, rejects boolean"
-    rows = labelled_grams(docs, labels, max_labelled).groupBy(F.lit(0).alias("all")).applyInArrow(_fitted, schema).orderBy("label").collect()
+    rows = labelled_grams(docs, labels, max_labelled).groupBy(F.lit(0).alias("all")).applyInArrow(_fitted, schema).collect()
     if not rows:
         none = Sample(np.empty(0, np.uint64), np.empty(0, np.int64))
         return fit(none, np.empty(0), np.empty(0, bool)), fit(none, np.empty(0), np.empty(0, bool))
-    quality, toxic = (Model(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["weights"]), r["bias"], r["slope"], r["shift"], r["rejects"]) for r in rows)
+    quality, toxic = (Model(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["weights"]), r["bias"], r["slope"], r["shift"], r["rejects"]) for r in sorted(rows, key=lambda r: r["label"]))
     return quality, toxic
 
 
