@@ -23,6 +23,8 @@ becomes empty; extra columns are kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,28 +34,39 @@ LEAST_TEXTS = 10
 DEPTH, SEGMENTS = 5, 8
 #: Constant tokens without which a template has no variable fields but those with a digit or an at sign.
 LEAST_CONSTANTS = 3
+#: The level after which lines still parsed, by then few, are written; later levels read these only.
+_STAGED = 2
 #: Leading tokens that tell a neighbour.
 AROUND = 3
 VARIABLE = "<*>"
 
-_WORD_GAP = r"[\x20\x09-\x0D]+"
-_FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*"
+_OTHER_SPACE = r"[\x09\x0B-\x0D]"
+_FIELD = r"(?<![^\x20\n])[^\x20\n0-9@]*+[0-9@][^\x20\n]*+"
 
 
 def _tokens(text: Column) -> Column:
-    """Tokens of each line, variable fields masked; a blank line has one empty token. Each step runs once a line."""
-    lines = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit("\t\x0b\x0c\r ")))
+    """Tokens of each line, variable fields masked; a blank line has none. Lines are split at single characters, without a pattern."""
+    other = reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"))
+    lines = F.split(F.when(other, F.regexp_replace(text, _OTHER_SPACE, " ")).otherwise(text), "\n", -1)
     masked = F.transform(lines, lambda line: F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _FIELD, VARIABLE)).otherwise(line))
-    return F.transform(masked, lambda line: F.split(line, _WORD_GAP))
+    return F.transform(masked, lambda line: F.array_remove(F.split(line, " ", -1), ""))
 
 
 def _lined(docs: DataFrame, depth: int) -> DataFrame:
-    """Rows (text_key, place, n, leaf, lead, tail) of every line that isn't blank: its first ``depth`` tokens and those after them."""
+    """Rows (text_key, place, n, leaf, before, after, lead, tail) of every line that isn't blank: its first ``depth`` tokens and those after them.
+
+    ``before`` and ``after`` are place and leaf of the next lines that aren't blank, null at the text's edges.
+    """
     text = F.col("text").cast("string")
-    rows = docs.where("text is not null").select(F.xxhash64(text).alias("text_key"), F.posexplode(_tokens(text)).alias("place", "tokens"))
+    full = F.filter(F.transform(_tokens(text), lambda t, i: F.struct(i.alias("place"), t.alias("tokens"))), lambda s: F.size(s["tokens"]) > 0)
+    rows = docs.where("text is not null").select(F.xxhash64(text).alias("text_key"), full.alias("full"))
+    leaf = lambda s: F.xxhash64(F.size(s["tokens"]), F.slice(s["tokens"], 1, AROUND))
+    rows = rows.select("text_key", "full", F.transform("full", lambda s: F.struct(s["place"].alias("place"), leaf(s).alias("leaf"))).alias("leaves"))
+    at = lambda j: F.get("leaves", j)
+    line = F.transform("full", lambda s, j: F.struct(s["place"].alias("place"), s["tokens"].alias("tokens"), at(j)["leaf"].alias("leaf"), at(j - 1).alias("before"), at(j + 1).alias("after")))
+    rows = rows.select("text_key", F.explode(line).alias("line")).select("text_key", "line.*")
     n, lead, tail = F.size("tokens"), F.slice("tokens", 1, depth), F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(0)))
-    rows = rows.where((n > 1) | (F.get("tokens", F.lit(0)) != ""))
-    return rows.select("text_key", "place", n.alias("n"), F.xxhash64(n, F.slice("tokens", 1, AROUND)).alias("leaf"), lead.alias("lead"), tail.alias("tail"))
+    return rows.select("text_key", "place", n.alias("n"), "leaf", "before", "after", lead.alias("lead"), tail.alias("tail"))
 
 
 def _in_texts(rows: DataFrame, key: str, least: int) -> DataFrame:
@@ -62,8 +75,10 @@ def _in_texts(rows: DataFrame, key: str, least: int) -> DataFrame:
 
 
 def templates(lines: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) -> DataFrame:
-    """Rows (text_key, place, key): the template of each line that has one and shares it with at least ``least`` texts."""
-    at = lines.select("text_key", "place", "n", "lead", "tail", F.xxhash64("n").alias("node"), F.lit(0).alias("wild"), F.lit(0).alias("found"))
+    """Rows (text_key, place, key, leaf, before, after): the template of each line that has one and shares it with at least ``least`` texts."""
+    around = ["leaf", "before", "after"]
+    at = lines.select("text_key", "place", *around, "n", "lead", "tail", F.xxhash64("n").alias("node"), F.lit(0).alias("wild"), F.lit(0).alias("found"))
+    few = None
     for d in range(depth):
         token = F.get("lead", F.lit(d))
         at = at.withColumn("branch", F.when((F.col("n") > d) & (token != VARIABLE), F.xxhash64("node", token)))
@@ -72,12 +87,14 @@ def templates(lines: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) ->
         variable = (F.col("n") > d) & F.col("known").isNull()
         node = F.when(F.col("n") <= d, F.col("node")).when(variable, F.xxhash64("node", F.lit(VARIABLE))).otherwise(F.col("branch"))
         compared = (variable & F.col("branch").isNotNull()).cast("int")
-        at = at.select("text_key", "place", "n", "lead", "tail", node.alias("node"), (F.col("wild") + variable.cast("int")).alias("wild"), (F.col("found") + compared).alias("found"))
+        at = at.select("text_key", "place", *around, "n", "lead", "tail", node.alias("node"), (F.col("wild") + variable.cast("int")).alias("wild"), (F.col("found") + compared).alias("found"))
         at = at.where(F.col("wild") * 3 <= F.least("n", F.lit(depth)))
+        if d == _STAGED:
+            at = few = stage(at, "parsed")
     leaves = stage(_in_texts(at, "node", least), "leaves")
     line = ["text_key", "place", "n", "node", "wild", "found"]
     # equal texts have equal lines
-    live = stage(heavy_join(at, leaves, "node").select(*line, "tail").dropDuplicates(["text_key", "place"]), "live")
+    live = stage(heavy_join(at, leaves, "node").select(*line, *around, "tail").dropDuplicates(["text_key", "place"]), "live")
     m = F.col("n") - depth
     parts = F.least(m, F.lit(SEGMENTS))
     edge = lambda j: F.floor(j * m / parts).cast("int")
@@ -94,30 +111,51 @@ def templates(lines: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) ->
     short = live.where(m <= 0).select("text_key", "place", "n", F.col("node").alias("key"), "wild", "found")
     good = (F.col("wild") * 2 <= F.col("n")) & ((F.col("found") == 0) | (F.col("n") - F.col("wild") >= LEAST_CONSTANTS))
     found = stage(keyed.unionByName(short).where(good).select("text_key", "place", "key"), "templates")
-    out = stage(heavy_join(found, _in_texts(found, "key", least), "key").select("text_key", "place", "key"), "shared")
-    release(live, leaves, constant, found)
+    shared = heavy_join(found, _in_texts(found, "key", least), "key").select("text_key", "place", "key")
+    out = stage(shared.join(live.select("text_key", "place", *around), ["text_key", "place"]), "shared")
+    release(live, leaves, constant, found, *([few] if few is not None else []))
     return out
 
 
-def recurring(lines: DataFrame, found: DataFrame, least: int = LEAST_TEXTS) -> DataFrame:
-    """Templates (key, weight) of ``templates`` that recur, weight being their lines; rounds go on as long as they find more."""
-    rows = lines.select("text_key", "place", "leaf").distinct().join(found, ["text_key", "place"], "left")
-    placed, hot = stage(rows, "placed"), None
-    rows = placed
+def recurring(found: DataFrame, least: int = LEAST_TEXTS) -> DataFrame:
+    """Templates (key, weight) of ``templates`` that recur, weight being their lines; rounds go on as long as they find more.
+
+    A round reads only lines whose template isn't decided, and the lines next to these. A template is decided once it recurs, or once the
+    texts where no undecided line is next to its first line (their surroundings can't change any more) rule it out.
+    """
     inside = Window.partitionBy("text_key").orderBy("place")
-    while True:
+
+    def seen(rows: DataFrame) -> DataFrame:
         near = lambda f: F.coalesce(f("leaf").over(inside), F.lit(0))
-        around = rows.select("text_key", "place", "key", F.xxhash64(near(F.lag), near(F.lead)).alias("around")).where("key is not null")
+        is_open = F.lag("key").over(inside).isNotNull() | F.lead("key").over(inside).isNotNull()
+        marked = rows.select("text_key", "place", "leaf", "key", F.xxhash64(near(F.lag), near(F.lead)).alias("around"), is_open.alias("open"))
+        return stage(marked.where("key is not null or open"), "open")
+
+    here = F.struct("place", "leaf", "key")
+    beside = [F.struct(F.col(c)["place"].alias("place"), F.col(c)["leaf"].alias("leaf"), F.lit(None).cast("bigint").alias("key")) for c in ("before", "after")]
+    rows = found.select("text_key", F.explode(F.array(here, *beside)).alias("line")).select("text_key", "line.*").where("place is not null")
+    rows = seen(rows.groupBy("text_key", "place").agg(F.max("leaf").alias("leaf"), F.max("key").alias("key")))
+    hot = []
+    while True:
         # one surrounding a text, the first
-        texts = around.groupBy("key", "text_key").agg(F.min(F.struct("place", "around"))["around"].alias("around"), F.count("*").alias("lines"))
-        each = texts.groupBy("key", "around").agg(F.count("*").alias("texts"), F.sum("lines").alias("lines"))
-        sums = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("texts").alias("texts"), F.max("texts").alias("most"), F.sum("lines").alias("weight"))
-        new = stage(sums.where((F.col("n") >= least) & (F.col("most") * 2 <= F.col("texts"))).select("key", "weight"), "recurring")
-        if new.isEmpty():
-            release(placed)
-            return new if hot is None else hot
-        hot = new if hot is None else stage(hot.unionByName(new), "recurring")
-        rows = heavy_join(placed, hot.withColumn("gone", F.lit(True)), "key", "left").where("gone is null").select("text_key", "place", "leaf", "key")
+        texts = rows.where("key is not null").groupBy("key", "text_key").agg(F.min(F.struct("place", "around", "open")).alias("first"), F.count("*").alias("lines"))
+        each = texts.groupBy("key", F.col("first.around").alias("around")).agg(F.count("*").alias("texts"), F.count_if("first.open").alias("open"), F.sum("lines").alias("lines"))
+        fixed = F.col("texts") - F.col("open")
+        sums = each.groupBy("key").agg(
+            *(F.count("*").alias("n"), F.sum("texts").alias("texts"), F.max("texts").alias("most"), F.sum("lines").alias("weight")),
+            *(F.sum("open").alias("open"), F.count_if(fixed > 0).alias("fixed"), F.max(fixed).alias("most_fixed")),
+        )
+        recurs = (F.col("n") >= least) & (F.col("most") * 2 <= F.col("texts"))
+        may = (F.col("open") > 0) & (F.col("fixed") + F.col("open") >= least) & (F.col("most_fixed") * 2 <= F.col("texts"))
+        decided = stage(sums.where(recurs | may).select("key", "weight", recurs.alias("recurs")), "recurring")
+        hot.append(decided.where("recurs").select("key", "weight"))
+        if hot[-1].isEmpty():
+            release(rows)
+            return reduce(DataFrame.unionByName, hot)
+        left = heavy_join(rows, decided, "key", "left").where("recurs is null or not recurs")
+        left = left.select("text_key", "place", "leaf", F.when(F.col("recurs").isNotNull(), F.col("key")).alias("key"))
+        before, rows = rows, seen(left)
+        release(before)
 
 
 def drop_recurring_lines(docs: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) -> DataFrame:
@@ -125,7 +163,7 @@ def drop_recurring_lines(docs: DataFrame, least: int = LEAST_TEXTS, depth: int =
     _key, _out = (unused(docs, c) for c in ("_key", "_out"))
     lines = stage(_lined(docs, depth), "lines")
     found = templates(lines, least, depth)
-    out = heavy_join(found, recurring(lines, found, least), "key").groupBy("text_key").agg(F.collect_set("place").alias(_out))
+    out = heavy_join(found, recurring(found, least), "key").groupBy("text_key").agg(F.collect_set("place").alias(_out))
     text = F.col("text").cast("string")
     copies = docs.where("text is not null").groupBy(F.xxhash64(text).alias("text_key")).agg(F.count("*").alias("weight"))
     out = stage(out.join(copies, "text_key").select(F.col("text_key").alias(_key), _out, "weight"), "out")
