@@ -42,29 +42,35 @@ _OTHER_SPACE = r"[\x09\x0B-\x0D]"
 _FIELD = r"(?<![^\x20\n])[^\x20\n0-9@]*+[0-9@][^\x20\n]*+"
 
 
-def _tokens(text: Column) -> Column:
-    """Tokens of each line, variable fields masked; a blank line has none. Lines are split at single characters, without a pattern."""
+def _clean(text: Column) -> Column:
+    """Lines with variable fields masked and one space between tokens, none outside; no token becomes a value of its own."""
     other = reduce(Column.__or__, (F.contains(text, F.lit(c)) for c in "\t\x0b\x0c\r"))
     lines = F.split(F.when(other, F.regexp_replace(text, _OTHER_SPACE, " ")).otherwise(text), "\n", -1)
     masked = F.transform(lines, lambda line: F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _FIELD, VARIABLE)).otherwise(line))
-    return F.transform(masked, lambda line: F.array_remove(F.split(line, " ", -1), ""))
+    single = F.transform(masked, lambda line: F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, "  +", " ")).otherwise(line))
+    return F.transform(single, lambda line: F.trim(line))
 
 
 def _lined(docs: DataFrame, depth: int) -> DataFrame:
-    """Rows (text_key, place, n, leaf, before, after, lead, tail) of every line that isn't blank: its first ``depth`` tokens and those after them.
+    """Rows (text_key, place, n, leaf, before, after, lead0.., tail) of every line that isn't blank: hashes of its first ``depth`` tokens, and the text after them.
 
+    A leading token that is a variable field, or isn't there, is null, as is ``tail`` of a line without later tokens.
     ``before`` and ``after`` are place and leaf of the next lines that aren't blank, null at the text's edges.
     """
     text = F.col("text").cast("string")
-    full = F.filter(F.transform(_tokens(text), lambda t, i: F.struct(i.alias("place"), t.alias("tokens"))), lambda s: F.size(s["tokens"]) > 0)
+    spaces = lambda line: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    full = F.transform(_clean(text), lambda line, i: F.struct(i.alias("place"), line.alias("line"), (spaces(line) + 1).alias("n")))
+    full = F.filter(full, lambda s: s["line"] != "")
     rows = docs.where("text is not null").select(F.xxhash64(text).alias("text_key"), full.alias("full"))
-    leaf = lambda s: F.xxhash64(F.size(s["tokens"]), F.slice(s["tokens"], 1, AROUND))
+    leaf = lambda s: F.xxhash64(s["n"], F.substring_index(s["line"], " ", AROUND))
     rows = rows.select("text_key", "full", F.transform("full", lambda s: F.struct(s["place"].alias("place"), leaf(s).alias("leaf"))).alias("leaves"))
     at = lambda j: F.get("leaves", j)
-    line = F.transform("full", lambda s, j: F.struct(s["place"].alias("place"), s["tokens"].alias("tokens"), at(j)["leaf"].alias("leaf"), at(j - 1).alias("before"), at(j + 1).alias("after")))
+    line = F.transform("full", lambda s, j: F.struct(s["place"].alias("place"), s["line"].alias("line"), s["n"].alias("n"), at(j)["leaf"].alias("leaf"), at(j - 1).alias("before"), at(j + 1).alias("after")))
     rows = rows.select("text_key", F.explode(line).alias("line")).select("text_key", "line.*")
-    n, lead, tail = F.size("tokens"), F.slice("tokens", 1, depth), F.slice("tokens", depth + 1, F.greatest(F.size("tokens") - depth, F.lit(0)))
-    return rows.select("text_key", "place", n.alias("n"), "leaf", "before", "after", lead.alias("lead"), tail.alias("tail"))
+    first = [F.substring_index(F.substring_index("line", " ", d + 1), " ", -1) for d in range(depth)]
+    lead = [F.when((F.col("n") > d) & (token != VARIABLE), F.xxhash64(token)).alias(f"lead{d}") for d, token in enumerate(first)]
+    tail = F.when(F.col("n") > depth, F.substr("line", F.char_length(F.substring_index("line", " ", depth)) + 2))
+    return rows.select("text_key", "place", "n", "leaf", "before", "after", *lead, tail.alias("tail"))
 
 
 def _in_texts(rows: DataFrame, key: str, least: int) -> DataFrame:
@@ -75,16 +81,16 @@ def _in_texts(rows: DataFrame, key: str, least: int) -> DataFrame:
 def templates(lines: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) -> DataFrame:
     """Rows (text_key, place, key, leaf, before, after): the template of each line that has one and shares it with at least ``least`` texts."""
     around = ["leaf", "before", "after"]
-    at = lines.select("text_key", "place", *around, "n", "lead", "tail", F.xxhash64("n").alias("node"), F.lit(0).alias("wild"), F.lit(0).alias("found"))
+    at = lines.withColumns({"node": F.xxhash64("n"), "wild": F.lit(0), "found": F.lit(0)})
     for d in range(depth):
-        token = F.get("lead", F.lit(d))
-        at = at.withColumn("branch", F.when((F.col("n") > d) & (token != VARIABLE), F.xxhash64("node", token)))
+        token = F.col(f"lead{d}")
+        at = at.withColumn("branch", F.when(token.isNotNull(), F.xxhash64("node", token)))
         common = stage(_in_texts(at.where("branch is not null"), "branch", least).withColumn("known", F.lit(True)), "branches")
         at = heavy_join(at, common, "branch", "left")
         variable = (F.col("n") > d) & F.col("known").isNull()
         node = F.when(F.col("n") <= d, F.col("node")).when(variable, F.xxhash64("node", F.lit(VARIABLE))).otherwise(F.col("branch"))
         compared = (variable & F.col("branch").isNotNull()).cast("int")
-        at = at.select("text_key", "place", *around, "n", "lead", "tail", node.alias("node"), (F.col("wild") + variable.cast("int")).alias("wild"), (F.col("found") + compared).alias("found"))
+        at = at.select("text_key", "place", *around, "n", *(f"lead{e}" for e in range(d + 1, depth)), "tail", node.alias("node"), (F.col("wild") + variable.cast("int")).alias("wild"), (F.col("found") + compared).alias("found"))
         at = at.where(F.col("wild") * 3 <= F.least("n", F.lit(depth)))
     leaves = stage(_in_texts(at, "node", least), "leaves")
     line = ["text_key", "place", "n", "node", "wild", "found"]
@@ -93,7 +99,7 @@ def templates(lines: DataFrame, least: int = LEAST_TEXTS, depth: int = DEPTH) ->
     m = F.col("n") - depth
     parts = F.least(m, F.lit(SEGMENTS))
     edge = lambda j: F.floor(j * m / parts).cast("int")
-    each = live.where(m > 0).select(*line, "tail", m.alias("m"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"))
+    each = live.where(m > 0).select(*line, F.split("tail", " ", -1).alias("tail"), m.alias("m"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"))
     each = each.select(*line, "i", F.slice("tail", edge(F.col("i")) + 1, edge(F.col("i") + 1) - edge(F.col("i"))).alias("run"))
     each = each.select(*line, "i", F.xxhash64("node", "i", "run").alias("cell"), F.size("run").alias("size"), F.size(F.filter("run", lambda t: t == VARIABLE)).alias("fields"))
     constant = stage(_in_texts(each, "cell", least).withColumn("known", F.lit(True)), "constants")
