@@ -23,7 +23,7 @@ STABILITY = [
 def score(samples: DataFrame, predictions: DataFrame, pairs: dict[str, str], n_boot: int = bootstrap.N_BOOT, seg_modes: Sequence[str] = SEG_MODES, resamples: DataFrame | None = None) -> DataFrame:
     """Group scores with intervals, for ``samples (sample_id, ord, ref)`` and ``predictions (model, sample_id, text)``; ord counts from 0."""
     texts = scoring.with_predictions(samples.select("sample_id", "ord", "ref"), predictions).select("model", "ord", "ref", "text")
-    own = scoring.sample_ops(scoring.block_rows(texts, seg_modes, pairs))
+    own = scoring.sample_ops(texts, seg_modes, pairs=pairs)
     k = samples.count()
     den = F.greatest(F.lit(1), F.when(F.col("fixed_len") > 0, F.col("fixed_len")).otherwise(F.col("ref_len")))
     rated = own.select(*scoring.KEYS, "ord", F.col("dist").alias("err"), den.alias("den"))
