@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lexigauge import catalogue
 from lexigauge.functions import edit, plain
 from lexigauge.functions.edit import certain, count_ops, distance
 from lexigauge.functions.normalize import LEVELS, normalize
@@ -90,3 +92,21 @@ def test_guard(spark):
     for guard, dist in ((True, 0), (False, 2)):
         row = scoring.sample_scores(texts, ["whole"], ["P0"], guard=guard).first()
         assert (row["dist"], row["overflow"]) == (dist, 1)
+
+
+def unguarded(spark, tmp_path, name):
+    """Rows of a query on a table with texts beyond the guard, by their keys, held against its SQL."""
+    long = "so the weather of the north\nthat they had.\n" * 100
+    rows = [(1, long, "src1"), (2, "Short one th", "src0"), (3, None, "src2"), (4, "x" * 2100 + "\nand  more", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    want = con.sql(f"select {', '.join(got.columns)} from ({catalogue.SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    return {(r["seg_mode"], r["level"], r["model"]): r for r in got.collect()}
+
+
+def test_corpus_cer_measures_long_texts(spark, tmp_path):
+    by = unguarded(spark, tmp_path, "corpus_cer")
+    assert by["whole", "P0", "upper"]["cer"] > 0.7 and by["whole", "P2", "upper"]["cer"] == 0 and by["whole", "P0", "upper"]["overflow_samples"] == 2
