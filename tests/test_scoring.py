@@ -110,3 +110,8 @@ def unguarded(spark, tmp_path, name):
 def test_corpus_cer_measures_long_texts(spark, tmp_path):
     by = unguarded(spark, tmp_path, "corpus_cer")
     assert by["whole", "P0", "upper"]["cer"] > 0.7 and by["whole", "P2", "upper"]["cer"] == 0 and by["whole", "P0", "upper"]["overflow_samples"] == 2
+
+
+def test_macro_average_measures_long_texts(spark, tmp_path):
+    by = unguarded(spark, tmp_path, "corpus_cer_macro_vs_micro")
+    assert by["whole", "P0", "upper"]["micro"] > 0.7 and by["whole", "P0", "upper"]["macro"] > 0.6
