@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexigauge.functions import audit, flatten
+from lexigauge.functions.chars import fold_tables
 from lexigauge.functions.edit import count_ops, distance
 from lexigauge.functions.normalize import casefold, collapse_ws, drop_cjk_space, half_width, normalize, punctuation_keeps_length, simplify, unify_punctuation
 from lexigauge.functions.segment import align_blocks, split_blocks
@@ -105,3 +106,11 @@ def test_truncated_paragraphs(spark):
         "the first line without end\nthe second line without end\nthe third line ends.", "the fourth line starts anew"]
     assert merged(None) == [] and merged("a\r\nb") == ["a\nb"]
     assert len(merged("\n\n".join(["this line of text goes on"] * 20_000))) == 1
+
+
+def test_casefold_looks_characters_up(spark):
+    one, many = fold_tables()
+    texts = [f"體 a{c}Z" for c in [*many, *list(one)[::25]]] + ["體" + "".join(many), "體 x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", casefold(F.col("t")).alias("x"), casefold(F.col("t"), {"a": "b"}).alias("y")).collect()
+    assert [r["x"] for r in rows] == [t.casefold() for t in texts] and [r["y"] for r in rows] == [t.casefold().replace("a", "b") for t in texts]
+    assert "[" + "".join(many)[:3] not in str(casefold(F.col("t")))  # as a class of a pattern they are tried one by one
